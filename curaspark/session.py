@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -43,9 +44,6 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="curaspark-ship-")
-    try:
-        archive = shutil.make_archive(os.path.join(folder, "curaspark_src"), "zip", root.parent, root.name)
-        context.addPyFile(archive)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file while it runs
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "curaspark_src"), "zip", root.parent, root.name))
     _SHIPPED.add(context)
