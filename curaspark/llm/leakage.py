@@ -45,6 +45,8 @@ LOOK_ALIKES = str.maketrans(
     "abrdesijkklmhopqtwyxvhgnuzqabesijkmhopctxyygqwhcabyenikvoptuxwcjagiabezhikmnoptyxoldold",
 )
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+ACCENTS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u093c\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")
+PUNCTUATION = "’‘“”«»–—…"
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -59,8 +61,12 @@ def words_of(text: str | None) -> list[str]:
                 break
             text = plain
     if not text.isascii():
-        text = INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
-        text = "".join(c for c in text if not unicodedata.combining(c)).translate(LOOK_ALIKES).casefold()
+        for mark in PUNCTUATION:
+            text = text.replace(mark, " ")
+        if not text.isascii():
+            text = ACCENTS.sub("", INVISIBLE.sub("", unicodedata.normalize("NFKD", text)))
+            if not text.isascii():
+                text = text.translate(LOOK_ALIKES).casefold()
     return WORD.findall(text.lower())
 
 
