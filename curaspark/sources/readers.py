@@ -12,9 +12,12 @@ from curaspark.functions.text import clean_post, post_id
 
 POSTS = T.StructType([T.StructField("posts", T.ArrayType(T.StructType([T.StructField("com", T.StringType()), T.StructField("perspectives", T.MapType(T.StringType(), T.DoubleType()))])))])
 PERSONAS = T.StructType([T.StructField("persona", T.StringType())])
-COMPLETIONS = T.StructType.fromDDL(
-    "task_id long, model string, persona string, persona_id string, toxicity double, `group` string, sentiment string, text string, is_refused boolean, "
-    "refusal_reason string, finish_reason string, input_tokens long, output_tokens long, generation_time double"
+_STRINGS = ["model", "persona", "persona_id", "group", "sentiment", "text", "refusal_reason", "finish_reason"]
+_LONGS = ["task_id", "input_tokens", "output_tokens"]
+COMPLETIONS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in _STRINGS]
+    + [T.StructField(n, T.LongType()) for n in _LONGS]
+    + [T.StructField("toxicity", T.DoubleType()), T.StructField("generation_time", T.DoubleType()), T.StructField("is_refused", T.BooleanType())]
 )
 
 

@@ -11,7 +11,9 @@ from curaspark.operators.relational import pending
 from curaspark.operators.votes import majority
 from curaspark.sources.sinks import StagedResults
 
-VERDICTS = T.StructType.fromDDL("original_idx long, judge string, is_hate boolean, raw string")
+VERDICTS = T.StructType(
+    [T.StructField("original_idx", T.LongType()), T.StructField("judge", T.StringType()), T.StructField("is_hate", T.BooleanType()), T.StructField("raw", T.StringType())]
+)
 
 
 def ingest_labels(spark: SparkSession, incoming: str, results: str, checkpoint: str) -> StreamingQuery:
