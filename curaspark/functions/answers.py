@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curaspark.functions.text import refusal_keywords, keyword_reason, straight_quotes, ustrip
+from curaspark.functions.text import keyword_reason, let, refusal_keywords, straight_quotes, ustrip
 
 # By part of a model's name, in the order of the test; anything else is plain.
 FAMILY_BY_PART = [("llama", "plain"), ("vicuna", "plain"), ("deepseek", "thinking"), ("gpt-oss", "reasoning"), ("qwen", "bilingual"), ("mistral", "plain"), ("gemma", "plain"), ("phi", "plain")]
@@ -57,7 +57,7 @@ def _array(values: list[str]) -> Column:
 
 
 def _any(text: Column, phrases: list[str]) -> Column:
-    return F.exists(_array(phrases), lambda p: F.contains(text, p))
+    return let(text, lambda t: F.exists(_array(phrases), lambda p: F.contains(t, p)))
 
 
 def _long(text: Column, least: int = 50) -> Column:
@@ -75,12 +75,15 @@ def _direct(text: Column, prefixes: list[str], void: list[str], compat: bool) ->
 
     ``compat``: once any phrase occurs, one that is absent counts as early, so only texts with all phrases late remain.
     """
-    body = _without_prefix(ustrip(text), prefixes)
-    at = F.transform(_array(void), lambda p: F.instr(body, p) - 1)
-    early = F.exists(at, lambda i: (i >= 0) & (i < 100))
-    if compat:
-        early = F.exists(at, lambda i: i >= 0) & F.exists(at, lambda i: i < 100)
-    return F.when(early, "").otherwise(_long(body))
+
+    def judge(body: Column) -> Column:
+        at = F.transform(_array(void), lambda p: F.instr(body, p) - 1)
+        early = F.exists(at, lambda i: (i >= 0) & (i < 100))
+        if compat:
+            early = F.exists(at, lambda i: i >= 0) & F.exists(at, lambda i: i < 100)
+        return F.when(early, "").otherwise(_long(body))
+
+    return let(ustrip(text), lambda t: let(_without_prefix(t, prefixes), judge))
 
 
 def _after_marker(text: Column) -> Column:

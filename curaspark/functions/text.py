@@ -6,6 +6,8 @@ A NULL text gives NULL unless a function says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ META = ["step-by-step", "rewrite", "key points", "the monologue", "the character
 KEEP = 50
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it occurs, also inside lambda functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ustrip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
@@ -80,8 +87,7 @@ def post_id(html: Column) -> Column:
 
 def _contains_any(text: Column, phrases: list[str]) -> Column:
     """The phrases that the text holds, whatever their case, in list order."""
-    lowered = F.lower(text)
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(lowered, F.lower(p)))
+    return let(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, F.lower(p))))
 
 
 def refusal_keywords(text: Column) -> Column:
@@ -117,7 +123,8 @@ def cut_at_patterns(text: Column) -> Column:
         before = F.call_function("regexp_extract", left, F.concat(F.lit("(?s)^(.*?)"), pattern), F.lit(1))
         return F.coalesce(F.when(F.rlike(left, pattern), _head(left, F.length(before))), left)
 
-    return F.aggregate(F.array(*map(F.lit, COMMENTARY)), text, step)
+    any_of = "|".join(f"(?:{p})" for p in COMMENTARY)  # one literal pattern decides for most texts
+    return F.when(F.rlike(text, F.lit(any_of)), F.aggregate(F.array(*map(F.lit, COMMENTARY)), text, step)).otherwise(text)
 
 
 def cut_at_starter(text: Column) -> Column:
@@ -129,16 +136,21 @@ def cut_at_starter(text: Column) -> Column:
 def cut_paragraphs(text: Column) -> Column:
     """Keep the paragraphs before the first later one with a starter or a commentary word, if enough is left."""
     parts = F.split(text, "\n\n")
-    words = [x.lower() for x in STARTERS] + META
-    suspect = F.transform(parts, lambda p, i: (i > 0) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(ustrip(p)), w)))
+    words = "|".join(_literal(x.lower()) for x in STARTERS + META)
+    suspect = F.transform(parts, lambda p, i: (i > 0) & F.rlike(F.lower(ustrip(p)), F.lit(words)))
     first = F.array_position(suspect, F.lit(True))
     kept = ustrip(F.array_join(F.when(first > 0, F.slice(parts, F.lit(1), (first - 1).cast("int"))).otherwise(parts), "\n\n"))
     return F.when((F.size(parts) > 1) & (F.length(kept) > KEEP), kept).otherwise(text)
 
 
+def _literal(phrase: str) -> str:
+    return r"\Q" + phrase + r"\E"
+
+
 def trim_reasoning(text: Column) -> Column:
     """Answer without the commentary that follows it. NULL and empty texts stay."""
-    return F.when(F.length(text) > 0, cut_paragraphs(cut_at_starter(cut_at_patterns(text)))).otherwise(text)
+    trimmed = let(cut_at_patterns(text), lambda t: let(cut_at_starter(t), cut_paragraphs))
+    return F.when(F.length(text) > 0, trimmed).otherwise(text)
 
 
 def yes_no(answer: Column) -> Column:
