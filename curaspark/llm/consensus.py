@@ -112,16 +112,28 @@ def fit(labelled: DataFrame, judges: list[str] | None = None) -> tuple[DataFrame
     strength = sum(abs(r) for r, _ in base.values())
     prevalence = sum(abs(r) * q for r, q in base.values()) / strength if strength else 0.5
     prevalence = min(max(prevalence, CLIP), 1 - CLIP)
-    for _ in range(PREVALENCE_ROUNDS):
+    judged = F.coalesce(*[F.col(j) for j in judges]).isNotNull() if judges else F.lit(False)
+
+    def mean_posterior(prevalence: float) -> float | None:
         w = _weights(base, prevalence)
         score = F.lit(math.log(prevalence / (1 - prevalence)))
         for j in judges:
             score = score + F.when(F.col(j), w[j][2]).when(~F.col(j), w[j][3]).otherwise(0.0)
-        judged = F.coalesce(*[F.col(j) for j in judges]).isNotNull() if judges else F.lit(False)
         mean = patterns.where(judged).agg((F.sum(n * _posterior(score)) / F.sum(n)).alias("p")).first()["p"]
-        if mean is None or abs(mean - prevalence) < 1e-4:
+        return None if mean is None else min(max(mean, CLIP), 1 - CLIP)
+
+    for _ in range(PREVALENCE_ROUNDS):  # the prevalence that reproduces itself; each round extrapolates from two steps
+        one = mean_posterior(prevalence)
+        two = None if one is None else mean_posterior(one)
+        if two is None:
+            break
+        bend = (two - one) - (one - prevalence)
+        fresh = prevalence - (one - prevalence) ** 2 / bend if abs(bend) > 1e-9 else two
+        fresh = fresh if CLIP < fresh < 1 - CLIP else two
+        done = abs(fresh - prevalence) < 1e-4
+        prevalence = fresh
+        if done:
             break
-        prevalence = min(max(mean, CLIP), 1 - CLIP)
     w = _weights(base, prevalence)
     estimates = {
         j: {"n_verdicts": seen[j][0], "yes_rate": base[j][1], "reliability": base[j][0], "hit_rate": w[j][0], "false_alarm_rate": w[j][1], "yes": w[j][2], "no": w[j][3]}
