@@ -26,10 +26,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def speech(spark: SparkSession, folder: str) -> DataFrame:
-    """Generated answers without second deliveries."""
+def deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated answers with second deliveries, which differ in nothing that is kept here.
+
+    Queries that make little of a text project first and take distinct rows of that, so texts aren't shuffled.
+    """
     columns = ["task_id", "model", "persona_id", "group", "sentiment", "text", "is_refused", "refusal_reason", "finish_reason", "input_tokens", "output_tokens", "toxicity"]
-    return table(spark, folder, "personas_merged_speech").select(*columns).distinct()
+    return table(spark, folder, "personas_merged_speech").select(*columns)
+
+
+def speech(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated answers, each once."""
+    return deliveries(spark, folder).distinct()
 
 
 def sql_list(values: list[str]) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import vectors as V
 from curaspark.operators import diversity, metrics, relational, sampling, similarity, stats, votes
-from curaspark.plans.common import register, speech, sql_list, table
+from curaspark.plans.common import deliveries, register, speech, sql_list, table
 from curaspark.plans.text_queries import _VERDICTS_SQL, JUDGES, LABELED, SPEECH_SQL, sql_soft, sql_strip, verdicts
 from curaspark.sources.catalog import GROUPS, SENTIMENTS
 
@@ -153,9 +153,9 @@ def missing_judge(spark, folder):
     return relational.missing_judge(have, table(spark, folder, LABELED).select("original_idx").distinct(), "fir")
 
 
-@register(f"SELECT task_id FROM {SPEECH_SQL} WHERE NOT coalesce(is_refused, false) AND task_id NOT IN (SELECT task_id FROM {LABELED} WHERE task_id IS NOT NULL)")
+@register(f"SELECT task_id FROM {SPEECH_SQL} WHERE NOT coalesce(is_refused, false) AND task_id NOT IN (SELECT task_id FROM {LABELED} WHERE task_id IS NOT NULL AND hate_votes IS NOT NULL)")
 def resume_anti_join(spark, folder):
-    return relational.pending(relational.not_refused(speech(spark, folder)), table(spark, folder, LABELED), "task_id").select("task_id")
+    return relational.pending(relational.not_refused(deliveries(spark, folder)).select("task_id").distinct(), table(spark, folder, LABELED).where("hate_votes is not null"), "task_id").select("task_id")
 
 
 @register(
@@ -172,7 +172,7 @@ def resume_union(spark, folder):
 
 @register(f"SELECT task_id, model, row_number() OVER (ORDER BY model, task_id) - 1 AS original_idx FROM {SPEECH_SQL} WHERE NOT coalesce(is_refused, false)")
 def nonrefused_index(spark, folder):
-    return relational.index_not_refused(speech(spark, folder).select("task_id", "model", "is_refused"), ["model", "task_id"]).select("task_id", "model", "original_idx")
+    return relational.index_not_refused(deliveries(spark, folder).select("task_id", "model", "is_refused").distinct(), ["model", "task_id"]).select("task_id", "model", "original_idx")
 
 
 @register(
@@ -201,7 +201,7 @@ def prefix_limit(spark, folder):
 def key_coalesce(spark, folder):
     from curaspark.functions.text import key_or_unknown
 
-    counted = speech(spark, folder).groupBy("persona_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = deliveries(spark, folder).select("task_id", "persona_id").distinct().groupBy("persona_id").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("persona_id", key_or_unknown(F.col("persona_id")).alias("key"), "n")
 
 
@@ -257,18 +257,22 @@ def logit_argmax(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", V.argmax(F.slice("embedding", 1, 2)).alias("pred"))
 
 
+def _postprocessed(spark, folder):
+    return stats.postprocess(deliveries(spark, folder)).select("task_id", "model", "was_refused", "is_refused", "was_cleaned").distinct()
+
+
 @register(
     f"""SELECT model, count(*) AS total, count(*) FILTER (before) AS originally_refused, count(*) FILTER (NOT before AND reason IS NOT NULL) AS newly_refused,
  count(*) FILTER (NOT before AND reason IS NULL) AS final_success, round_even(count(*) FILTER (before OR reason IS NOT NULL) * 100.0 / count(*)::DOUBLE, 1) AS refuse_pct
  FROM (SELECT model, coalesce(is_refused, false) AS before, {sql_soft('text')} AS reason FROM {SPEECH_SQL}) GROUP BY model"""
 )
 def postprocess_stats(spark, folder):
-    return stats.postprocess_stats(stats.postprocess(speech(spark, folder))).drop("cleaned")
+    return stats.postprocess_stats(_postprocessed(spark, folder)).drop("cleaned")
 
 
 @register(None)
 def postprocess_cleaned(spark, folder):
-    return stats.postprocess_stats(stats.postprocess(speech(spark, folder))).select("model", "cleaned")
+    return stats.postprocess_stats(_postprocessed(spark, folder)).select("model", "cleaned")
 
 
 @register(
@@ -286,7 +290,7 @@ def length_stats(spark, folder):
  CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM {SPEECH_SQL} GROUP BY model"""
 )
 def generation_stats(spark, folder):
-    return stats.generation_stats(speech(spark, folder))
+    return stats.generation_stats(deliveries(spark, folder).drop("text").distinct())
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curaspark.functions import answers as A
 from curaspark.functions import text as T
 from curaspark.operators import metrics, votes
-from curaspark.plans.common import register, speech, sql_list, table
+from curaspark.plans.common import deliveries, register, speech, sql_list, table
 from curaspark.sources import readers
 
 STRIP = r"[\x09-\x0d\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -31,7 +31,7 @@ def _posts(spark, folder):
     quote = F.concat(F.lit('<span class="quote">&gt;so\nthey say</span>'), F.col("text"), F.lit("<BR />"))
     entity = F.concat(F.col("text"), F.lit(" &amp;lt;b&gt; &quot;x&quot; &#039;y&#039;<br>z&nbsp;"))
     marked = F.when(digit.isin("0", "1"), link).when(digit.isin("2", "3"), quote).when(digit.isin("4", "5"), entity).otherwise(F.col("text"))
-    return speech(spark, folder).select("task_id", marked.alias("html"), "toxicity")
+    return deliveries(spark, folder).select("task_id", marked.alias("html"), "toxicity")
 
 
 POSTS_SQL = f"""(SELECT task_id, toxicity, CASE
@@ -51,7 +51,7 @@ def sql_clean(x: str) -> str:
 
 @register(f"SELECT task_id, {sql_clean('html')} AS cleaned FROM {POSTS_SQL}")
 def html_clean(spark, folder):
-    return _posts(spark, folder).select("task_id", T.clean_post(F.col("html")).alias("cleaned"))
+    return _posts(spark, folder).select("task_id", T.clean_post(F.col("html")).alias("cleaned")).distinct()
 
 
 _ID_SQL = r"""CASE WHEN html IS NULL THEN NULL WHEN regexp_extract(html, 'class="quotelink"[^>]*>.*?&gt;&gt;(\d+)<', 1) <> ''
@@ -60,7 +60,7 @@ _ID_SQL = r"""CASE WHEN html IS NULL THEN NULL WHEN regexp_extract(html, 'class=
 
 @register(f"SELECT task_id, {_ID_SQL} AS post_id FROM {POSTS_SQL}")
 def ref_id_extract(spark, folder):
-    return _posts(spark, folder).select("task_id", T.post_id(F.col("html")).alias("post_id"))
+    return _posts(spark, folder).select("task_id", T.post_id(F.col("html")).alias("post_id")).distinct()
 
 
 @register(
@@ -68,7 +68,7 @@ def ref_id_extract(spark, folder):
 )
 def explode_filter_clean(spark, folder):
     post = F.struct(F.col("html").alias("com"), F.when(F.col("toxicity").isNotNull(), F.create_map(F.lit("TOXICITY"), "toxicity")).otherwise(F.create_map(F.lit("OTHER"), F.lit(1.0))).alias("perspectives"))
-    threads = _posts(spark, folder).select(F.array(post, F.struct(F.lit(None).cast("string").alias("com"), F.lit(None).cast("map<string,double>").alias("perspectives"))).alias("posts"))
+    threads = _posts(spark, folder).distinct().select(F.array(post, F.struct(F.lit(None).cast("string").alias("com"), F.lit(None).cast("map<string,double>").alias("perspectives"))).alias("posts"))
     return readers.posts_of(threads).select("post_id", "cleaned_post")
 
 
@@ -95,7 +95,7 @@ _WINDOW_SQL = sql_strip(f"substring({sql_straight('text')}, 1, 150)")
 )
 def refusal_keywords(spark, folder):
     text = F.col("text")
-    return speech(spark, folder).select("task_id", F.array_join(T.refusal_keywords(text), "|").alias("found"), T.keyword_reason(text).alias("reason"))
+    return deliveries(spark, folder).select("task_id", F.array_join(T.refusal_keywords(text), "|").alias("found"), T.keyword_reason(text).alias("reason")).distinct()
 
 
 def sql_soft(x: str) -> str:
@@ -105,7 +105,7 @@ def sql_soft(x: str) -> str:
 
 @register(f"SELECT task_id, {sql_soft('text')} AS reason FROM {SPEECH_SQL}")
 def soft_refusal(spark, folder):
-    return speech(spark, folder).select("task_id", T.soft_refusal(F.col("text")).alias("reason"))
+    return deliveries(spark, folder).select("task_id", T.soft_refusal(F.col("text")).alias("reason")).distinct()
 
 
 def _with_commentary(spark, folder):
@@ -185,7 +185,7 @@ _FAMILY = {"argon-8b": "meta-llama/Argon", "basalt-mini": "openai/gpt-oss-20b",
 
 def _with_family(spark, folder):
     named = F.coalesce(F.create_map(*[F.lit(x) for p in _FAMILY.items() for x in p])[F.col("model")], F.col("model"))
-    return speech(spark, folder).withColumn("family", A.family(named))
+    return deliveries(spark, folder).withColumn("family", A.family(named))
 
 
 _FAMILY_SQL = "CASE model WHEN 'argon-8b' THEN 'plain' WHEN 'basalt-mini' THEN 'reasoning' WHEN 'cobalt-chat' THEN 'bilingual' WHEN 'emerald-r1' THEN 'thinking' ELSE 'plain' END"
@@ -193,12 +193,12 @@ _FAMILY_SQL = "CASE model WHEN 'argon-8b' THEN 'plain' WHEN 'basalt-mini' THEN '
 
 @register(f"SELECT family, count(*) AS n FROM (SELECT {_FAMILY_SQL} AS family FROM {SPEECH_SQL}) GROUP BY family")
 def adapter_dispatch(spark, folder):
-    return _with_family(spark, folder).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return _with_family(spark, folder).select("task_id", "family").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(None)
 def adapter_extract(spark, folder):
-    return _with_family(spark, folder).select("task_id", A.answer_or_raw(F.col("family"), F.col("text")).alias("answer"))
+    return _with_family(spark, folder).select("task_id", A.answer_or_raw(F.col("family"), F.col("text")).alias("answer")).distinct()
 
 
 def _sql_any(x: str, phrases: list[str]) -> str:
@@ -214,13 +214,13 @@ def _sql_any(x: str, phrases: list[str]) -> str:
 )
 def adapter_refusal(spark, folder):
     rows = _with_family(spark, folder).where("family <> 'reasoning'")
-    return rows.select("task_id", A.family_refusal(F.col("family"), F.col("text"), F.col("output_tokens")).alias("reason"))
+    return rows.select("task_id", A.family_refusal(F.col("family"), F.col("text"), F.col("output_tokens")).alias("reason")).distinct()
 
 
 @register(None)
 def adapter_refusal_reasoning(spark, folder):
     rows = _with_family(spark, folder).where("family = 'reasoning'")
-    return rows.select("task_id", A.family_refusal(F.col("family"), F.col("text"), F.col("output_tokens")).alias("reason"))
+    return rows.select("task_id", A.family_refusal(F.col("family"), F.col("text"), F.col("output_tokens")).alias("reason")).distinct()
 
 
 _KEYWORD_SQL = f"array_to_string(list_filter({sql_list(T.KEYWORDS)}, lambda p: contains(lower({_WINDOW_SQL}), lower(p)))[1:3], ', ')"
@@ -234,8 +234,8 @@ _KEYWORD_SQL = f"array_to_string(list_filter({sql_list(T.KEYWORDS)}, lambda p: c
 )
 def provider_refusal(spark, folder):
     kind = F.when(F.col("task_id") % 3 == 0, "open").when(F.col("task_id") % 3 == 1, "brief").otherwise("strict")
-    rows = speech(spark, folder).withColumn("provider", kind)
-    return rows.select("task_id", "provider", A.provider_refusal(F.col("provider"), F.col("text"), F.col("output_tokens"), F.col("finish_reason")).alias("reason"))
+    rows = deliveries(spark, folder).withColumn("provider", kind)
+    return rows.select("task_id", "provider", A.provider_refusal(F.col("provider"), F.col("text"), F.col("output_tokens"), F.col("finish_reason")).alias("reason")).distinct()
 
 
 @register(f"SELECT doc_id FROM documents WHERE coalesce(length({sql_strip('text')}), 0) > 0")
