@@ -36,7 +36,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _pivots(unit: DataFrame) -> np.ndarray:
-    rows = unit.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # PIVOTS vectors
+    """One pivot for each full block of rows, ``PIVOTS`` at most."""
+    n = min(PIVOTS, -(-unit.count() // BLOCK))
+    rows = unit.orderBy(F.xxhash64("id"), "id").limit(n).collect()
     return np.array([r["v"] for r in rows], dtype=float)
 
 
