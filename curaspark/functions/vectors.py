@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curaspark.functions.text import let
+
 
 def as_double(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -17,7 +19,7 @@ def l2_norm(vector: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     """At length 1; a zero vector stays."""
     norm = l2_norm(vector)
-    return F.transform(as_double(vector), lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    return let(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform(as_double(vector), lambda x: x / n))
 
 
 def argmax(values: Column) -> Column:
