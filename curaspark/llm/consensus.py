@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from curaspark.storage import materialize
 
-BLOCKS, STEPS, CONVERGED = 12, 2, 1e-5
+BLOCKS, STEPS, CONVERGED = 20, 2, 1e-3
 PREVALENCE_ROUNDS = 6
 CLIP = 0.005
 
@@ -64,14 +64,11 @@ def spectral(edges: DataFrame) -> DataFrame:
     vector = materialize(edges.groupBy(F.col("a").alias("judge")).agg(F.lit(0.5).alias("x")), "vector")
     eigenvalue = None
     for _ in range(BLOCKS):
-        start = vector.select("judge", "x", F.pow("x", 2).alias("self"), F.col("x").alias("first"))
-        state = start
-        before = start
+        state = vector.select("judge", "x", F.lit(0.0).alias("last"), F.pow("x", 2).alias("self"))
         for _ in range(STEPS):
-            before = state
             moved = edges.join(state.select(F.col("judge").alias("b"), F.col("x").alias("xb")), "b").groupBy(F.col("a").alias("judge")).agg(F.sum(F.col("w") * F.col("xb")).alias("y"))
-            state = state.join(moved, "judge").select("judge", (F.col("y") + F.col("self") * F.col("x")).alias("x"), "self", "first")
-        block = materialize(state.join(before.select("judge", F.col("x").alias("last")), "judge").select("judge", "x", "last"), "vector")
+            state = state.join(moved, "judge").select("judge", (F.col("y") + F.col("self") * F.col("x")).alias("x"), F.col("x").alias("last"), "self")
+        block = materialize(state.select("judge", "x", "last"), "vector")
         s = block.agg(F.sum(F.col("x") * F.col("last")).alias("xl"), F.sum(F.col("last") * F.col("last")).alias("ll"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("x").alias("x")).first()
         if not s["xx"]:
             break
@@ -130,7 +127,7 @@ def fit(labelled: DataFrame, judges: list[str] | None = None) -> tuple[DataFrame
         bend = (two - one) - (one - prevalence)
         fresh = prevalence - (one - prevalence) ** 2 / bend if abs(bend) > 1e-9 else two
         fresh = fresh if CLIP < fresh < 1 - CLIP else two
-        done = abs(fresh - prevalence) < 1e-4
+        done = abs(fresh - prevalence) < 5e-4
         prevalence = fresh
         if done:
             break
