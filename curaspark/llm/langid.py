@@ -16,7 +16,8 @@ Letters are compared lower-cased, without accents, markup, invisible characters
 ``MIN_WORDS`` words are no segments of their own unless a document has nothing else.
 
 Defined results: NULL, blank or wordless texts have no language and give no row; a document in one language
-gives one row, a mixed one a row for each language; repeated ids are treated row by row.
+gives one row, a mixed one a row for each language; repeated ids are treated row by row; without any usable label
+nothing can be learnt and there are no rows.
 """
 
 from __future__ import annotations
@@ -263,7 +264,7 @@ def languages(documents: DataFrame, model: Model | None = None, segments: bool =
             cut = [segments_of(t) for t in batch.column(2).to_pylist()]
             folded = [s for own in cut for s in own]
             rows: list[tuple] = []
-            if folded:
+            if folded and model.known.any():
                 losses = model.losses(model.margins(folded))
                 best, lead, sure = _order(losses)
                 at = 0

@@ -77,6 +77,11 @@ def test_code_words_are_apart():
     assert min(apart) >= 12 and all(len({*col}) == 2 for col in lg.CODE.T)
 
 
+def test_no_usable_label(spark):
+    df = spark.createDataFrame([(1, _text(random.Random(5), "en"), "??", "x", 1), (2, _text(random.Random(6), "fr"), None, "x", 1)], DOCS)
+    assert lg.wrong_labels(df).count() == 0
+
+
 def test_empty(spark, model):
     empty = spark.createDataFrame([], DOCS)
     assert lg.wrong_labels(empty).count() == 0 and lg.languages(empty, model, segments=True).count() == 0
