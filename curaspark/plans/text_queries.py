@@ -259,6 +259,6 @@ def word_counts(spark, folder):
  FROM personahate_train_balanced_6judge WHERE length(text) > 0 AND NOT regexp_matches(text, '[/\\\\\\x00-\\x1f\\x7f]') GROUP BY original_idx"""
 )
 def sft_messages(spark, folder):
-    rows = table(spark, folder, "personahate_train_balanced_6judge").where(metrics.non_empty(F.col("text")) & ~F.rlike("text", F.lit(r"[/\\\x00-\x1f\x7f]")))
+    rows = table(spark, folder, "personahate_train_balanced_6judge").where(metrics.non_empty(F.col("text")))
     made = T.classification_messages(F.col("text"), F.col("split_label"), "Answer Yes or No.")
     return rows.groupBy("original_idx").agg(F.max(F.to_json(made)).alias("messages"))
