@@ -12,8 +12,10 @@ in two passes: the second leaves out sentences that contradict their label by th
 Everything else runs over all documents and whole texts in one narrow map; nothing is shuffled but the counts.
 
 Letters are compared lower-cased, without accents, markup, invisible characters or digits. Sentences end at
-.!?, line breaks and line-break tags. Quoted passages, tails after a dash and sentences of fewer than
-``MIN_WORDS`` words are no segments of their own unless a document has nothing else.
+.!?, line breaks and line-break tags. What stands between spaced dashes is a segment of its own, as a language may
+change there; a sentence whose parts are all shorter than ``MIN_WORDS`` words stays whole. Quoted passages, shorter
+parts and sentences of fewer than ``MIN_WORDS`` words are no segments unless a document has nothing else. Parts of a
+sentence in the same language count as one sentence.
 
 Defined results: NULL, blank or wordless texts have no language and give no row; a document in one language
 gives one row, a mixed one a row for each language; repeated ids are treated row by row; without any usable label
@@ -72,7 +74,7 @@ TAG = re.compile(r"<[^<>]{1,200}>")
 THREAD_REF = re.compile(r">>\d+")
 QUOTED = re.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|\"[^\"\n]*\"|‹[^›]*›")
 SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$)|[\n\r  ]+")
-DASH_TAIL = re.compile(r"\s[-–—]\s.*$", re.S)
+DASH = re.compile(r"\s[-–—](?=\s)")
 WORD = re.compile(r"[^\W\d_]+")
 NOT_LETTERS = re.compile(r"[^a-z]+")
 QUOTE_MARKS = re.compile("[«»“”„\"‹›]")
@@ -106,26 +108,29 @@ def _fold(sentence: str) -> str:
     return f" {NOT_LETTERS.sub(' ', sentence.lower()).strip()} "
 
 
-def segments_of(text: str | None) -> list[str]:
-    """Folded whole sentences; of a text without any, its folded whole. Empty if there are no words."""
+def segments_of(text: str | None) -> tuple[list[str], list[int]]:
+    """Folded whole sentences or their parts, and the number of the sentence of each; of a text without any, its folded whole. Empty if there are no words."""
     if not text:
-        return []
+        return [], []
     text = _plain(text)
     body = text.strip()
     if len(body) > 1 and QUOTE_MARKS.match(body[0]) and QUOTE_MARKS.match(body[-1]):
         body = body[1:-1]  # the whole text in quotation marks is no quotation within it
     outside = QUOTED.sub(" \n ", body)
-    out = []
-    for sentence in SENTENCE_END.split(outside):
+    out, of = [], []
+    for n, sentence in enumerate(SENTENCE_END.split(outside)):
         if len(sentence) > 3:
-            folded = _fold(DASH_TAIL.sub("", sentence))
-            if folded.count(" ") > MIN_WORDS:
-                out.append(folded)
+            parts = [_fold(x) for x in DASH.split(sentence)]
+            own = [x for x in parts if x.count(" ") > MIN_WORDS]
+            if not own and len(parts) > 1:
+                own = [x for x in [_fold(sentence)] if x.count(" ") > MIN_WORDS]
+            out += own
+            of += [n] * len(own)
     if not out:
         folded = _fold(QUOTE_MARKS.sub(" ", text))
         if len(folded) > 2:
-            out.append(folded)
-    return out
+            out, of = [folded], [0]
+    return out, of
 
 
 def features(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +198,7 @@ def _count(shared, schema_names: list[str]):
         for batch in batches:
             folded, label = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = segments_of(text)
+                own, _ = segments_of(text)
                 folded += own
                 label += [LANGS.index(lang)] * len(own)
             if not folded:
@@ -262,16 +267,16 @@ def languages(documents: DataFrame, model: Model | None = None, segments: bool =
         names = [x.split()[0] for x in wanted.split(", ")]
         for batch in batches:
             cut = [segments_of(t) for t in batch.column(2).to_pylist()]
-            folded = [s for own in cut for s in own]
+            folded = [s for own, _ in cut for s in own]
             rows: list[tuple] = []
             if folded and model.known.any():
                 losses = model.losses(model.margins(folded))
                 best, lead, sure = _order(losses)
                 at = 0
-                for doc, label, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut):
+                for doc, label, (own, of) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut):
                     end = at + len(own)
                     if own:
-                        part = (_segment_rows if segments else _document_rows)(losses[at:end], best[at:end], lead[at:end], sure[at:end], [len(s) for s in own])
+                        part = (_segment_rows if segments else _document_rows)(losses[at:end], best[at:end], lead[at:end], sure[at:end], of if segments else [len(s) for s in own])
                         rows += [(doc, *r) if segments else (doc, label, *r) for r in part]
                     at = end
             columns = list(zip(*rows)) if rows else [[] for _ in names]
@@ -299,10 +304,10 @@ def _document_rows(losses, best, lead, sure, sizes) -> list[tuple]:
     ]
 
 
-def _segment_rows(losses, best, lead, sure, sizes) -> list[tuple]:
+def _segment_rows(losses, best, lead, sure, of) -> list[tuple]:
     cuts = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(best)]
     return [
-        (n, LANGS[best[a]], float(sure[a:b].mean()), b - a, bool((lead[a:b] < MIN_LEAD).any()))
+        (n, LANGS[best[a]], float(sure[a:b].mean()), len({*of[a:b]}), bool((lead[a:b] < MIN_LEAD).any()))
         for n, (a, b) in enumerate(zip(cuts, cuts[1:]))
     ]
 

@@ -85,3 +85,21 @@ def test_no_usable_label(spark):
 def test_empty(spark, model):
     empty = spark.createDataFrame([], DOCS)
     assert lg.wrong_labels(empty).count() == 0 and lg.languages(empty, model, segments=True).count() == 0
+
+
+def test_nothing_is_lost_at_a_dash(spark, model):
+    sentence = {k: v.split("|")[0].format(THINGS[k]) for k, v in SENTENCES.items()}
+    other = {k: v.split("|")[1].format(THINGS[k]) for k, v in SENTENCES.items()}
+    rows = [
+        (1, f"{other['es']}. {sentence['es']} - {sentence['fr']}", "es", "x", 1),  # the only French follows a dash
+        (2, f"Oui - {sentence['fr']}", "en", "x", 1),
+        (3, f"{sentence['en']}.  - {sentence['de']}", "en", "x", 1),  # a sentence that begins with one
+        (4, f"{sentence['it']} — {other['it']} – {sentence['it']}. {other['it']}", "it", "x", 1),
+        (5, f"{sentence['en']} - une patience étonnante. {other['en']}", "en", "x", 1),  # a short quotation
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {tuple(r) for r in lg.wrong_labels(df, model).collect()}
+    assert got == {(1, "es"), (1, "fr"), (2, "fr"), (3, "en"), (3, "de")}
+    parts = sorted((r["doc_id"], r["segment"], r["lang"], r["n_sentences"]) for r in lg.languages(df, model, segments=True).collect())
+    assert parts == [(1, 0, "es", 2), (1, 1, "fr", 1), (2, 0, "fr", 1), (3, 0, "en", 1), (3, 1, "de", 1), (4, 0, "it", 2), (5, 0, "en", 2)]
+    assert lg.segments_of("Ja - das ist gut")[0] == [" ja das ist gut "]  # no part is long enough, the whole is
