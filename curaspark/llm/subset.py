@@ -8,7 +8,9 @@
    largest eigenvalue count; there is one topical cluster more than them, as in spectral clustering.
 4. *Mini-batch k-means* on these features: the texts are split by a hash of their id into ``BATCHES`` batches, all of
    which are used; each batch is summed by centre on the executors, and a centre moves by the batch's share of all
-   it has seen. Centres start by k-means++ on a bounded part of the first batch.
+   it has seen. Centres start by *k-means||*: in each of ``ROUNDS`` passes over all texts, texts are drawn with chances
+   in proportion to their squared distance from those drawn before, so any text of any batch can open a cluster; the
+   drawn, weighted by how many texts are nearest to each, are put together by k-means++.
 5. Each topical cluster gets an equal quota; slots that a small one can't use go to the others. Each is clustered
    again by tf-idf vectors of its words into as many parts as its quota, and the parts again get equal quotas; within
    a part the records are drawn by a seeded hash.
@@ -42,7 +44,7 @@ MAX_CLUSTERS = 2048
 MAX_WORDS = 4096
 EIGEN, PASSES, GAP = 24, 5, 0.5
 RESTARTS, LLOYD = 8, 12
-START_ROWS = 20_000
+ROUNDS, OVER, DRAWN = 4, 2, 1000
 CACHE_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -201,38 +203,98 @@ def _hot(of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def start_centres(x: np.ndarray, clusters: int, seed: int) -> np.ndarray:
-    """Best of ``RESTARTS`` k-means++ starts after ``LLOYD`` plain k-means steps on the given rows."""
+def start_centres(x: np.ndarray, clusters: int, seed: int, weight: np.ndarray) -> np.ndarray:
+    """Best of ``RESTARTS`` k-means++ starts after ``LLOYD`` plain k-means steps on the given rows, each standing for ``weight`` texts."""
     rng = np.random.default_rng(seed)
     best, least = x[:1].copy(), np.inf
     for _ in range(RESTARTS):
-        chosen = [int(rng.integers(len(x)))]
+        chosen = [int(rng.choice(len(x), p=weight / weight.sum()))]
         apart = ((x - x[chosen[0]]) ** 2).sum(1)
         while len(chosen) < min(clusters, len(x)) and apart.max() > 1e-9:
-            chosen.append(int(rng.choice(len(x), p=apart / apart.sum())))
+            chance = apart * weight
+            chosen.append(int(rng.choice(len(x), p=chance / chance.sum())))
             apart = np.minimum(apart, ((x - x[chosen[-1]]) ** 2).sum(1))
         centres = x[chosen].copy()
         for _ in range(LLOYD):
             of = _nearest(x, centres)
-            n = np.bincount(of, minlength=len(centres))
-            sums = _hot(of, len(centres)).T @ x
+            n = np.bincount(of, weights=weight, minlength=len(centres))
+            sums = _hot(of, len(centres)).T @ (x * weight[:, None])
             centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres).astype(np.float32)
-        loss = ((x - centres[_nearest(x, centres)]) ** 2).sum()
+        loss = (((x - centres[_nearest(x, centres)]) ** 2).sum(1) * weight).sum()
         if loss < least:
             best, least = centres, loss
     return best
 
 
+def _apart(x: np.ndarray, own: np.ndarray, centres: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row's own group and the squared distance from it; 1 where the group has none."""
+    of, apart = np.full(len(x), -1), np.ones(len(x))
+    for g in np.unique(own):
+        rows, at = np.flatnonzero(own == g), np.flatnonzero(groups == g)
+        if len(at):
+            near = at[_nearest(x[rows], centres[at])]
+            of[rows], apart[rows] = near, ((x[rows] - centres[near]) ** 2).sum(1)
+    return of, apart
+
+
+def drawn_texts(rows: DataFrame, table: np.ndarray, clusters: dict[int, int], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts drawn from all rows by squared distance, the group of each and how many rows of the group are nearest to it."""
+    spark = rows.sparkSession
+    centres, groups = np.zeros((0, table.shape[1]), dtype=np.float32), np.zeros(0, dtype=np.int32)
+    wanted = {g: max(OVER * k, DRAWN // (ROUNDS * len(clusters))) for g, k in clusters.items()}
+    for turn in range(ROUNDS + 1):
+        shared = spark.sparkContext.broadcast((centres, groups, table))
+
+        def race(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            # the least of exponential times with these rates is a draw without replacement
+            centres, groups, table = shared.value
+            for part in _pieces(batches):
+                _, apart = _apart(_project(part.column(1), table), part.column(2).to_numpy(), centres, groups)
+                even = ((part.column(3).to_numpy().view(np.uint64) >> np.uint64(11)) + 0.5) / 2**53
+                far = np.flatnonzero(apart > 1e-6)
+                if len(far):
+                    taken = part.take(pa.array(far))
+                    time = pa.array(-np.log(even[far]) / apart[far])
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), time], names=["id", "words", "grp", "time"])
+
+        drawn = rows.select("id", "words", "grp", F.xxhash64(F.lit(seed), F.lit(turn), "id").alias("h")).mapInArrow(race, "id long, words binary, grp int, time double")
+        most = max(wanted.values()) if turn else 1
+        first = F.row_number().over(Window.partitionBy("grp").orderBy("time", "id"))
+        # constant bounds let Spark cut each partition before rows move; DRAWN / ROUNDS texts or OVER a centre reach the driver a turn
+        found = drawn.withColumn("at", first).where(F.col("at") <= most).orderBy("grp", "at").toPandas()
+        found = found[found["at"] <= found.grp.map(wanted)]
+        if not len(found):
+            break
+        centres = np.concatenate([centres, _project(pa.array(found.words.tolist(), type=pa.binary()), table)])
+        groups = np.concatenate([groups, found.grp.to_numpy(dtype=np.int32)])
+    shared = spark.sparkContext.broadcast((centres, groups, table))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, groups, table = shared.value
+        counts = np.zeros(len(centres), dtype=np.int64)
+        for part in _pieces(batches):
+            of, _ = _apart(_project(part.column(0), table), part.column(1).to_numpy(), centres, groups)
+            counts += np.bincount(of[of >= 0], minlength=len(centres))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cluster", "n"])
+
+    total = rows.select("words", "grp").mapInArrow(count, "cluster int, n long").groupBy("cluster").agg(F.sum("n").alias("n")).toPandas()  # a row a drawn text
+    weight = np.zeros(len(centres))
+    weight[total.cluster.to_numpy(dtype=np.int64)] = total.n.to_numpy()
+    return centres, groups, weight
+
+
 def fit_clusters(rows: DataFrame, table: np.ndarray, clusters: dict[int, int], seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Centres and the group of each, by mini-batch k-means over all batches. ``rows``: ``id, words, grp, batch``; ``clusters``: centres wanted by group."""
     spark = rows.sparkSession
-    least = F.row_number().over(Window.partitionBy("grp").orderBy("batch", F.xxhash64(F.lit(seed), "id"), "id"))
-    each = max(200, START_ROWS // max(1, len(clusters)))
-    start = rows.withColumn("at", least).where(F.col("at") <= each).select("grp", "words").toPandas()  # START_ROWS at most, or 200 a group
+    clusters = {g: k for g, k in clusters.items() if k}
     centres, groups = np.zeros((0, table.shape[1]), dtype=np.float32), np.zeros(0, dtype=np.int32)
-    for group, own in start.groupby("grp", sort=True):
-        if clusters.get(group):
-            more = start_centres(_project(pa.array(own.words.tolist(), type=pa.binary()), table), clusters[group], seed)
+    if clusters:
+        rows = rows.where(F.col("grp").isin([int(g) for g in clusters]))
+        drawn, of, weight = drawn_texts(rows, table, clusters, seed)
+        for group in sorted({*of.tolist()}):
+            own = (of == group) & (weight > 0)
+            more = start_centres(drawn[own], clusters[group], seed, weight[own])
             centres, groups = np.concatenate([centres, more]), np.concatenate([groups, np.full(len(more), group, dtype=np.int32)])
     seen = np.zeros(len(centres))
     for batch in range(BATCHES if len(centres) else 0):

@@ -57,3 +57,11 @@ def test_frequencies_cover_all_texts(spark):
     texts = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "b")], "id long, text string")
     counts, total = subset.document_frequencies(texts)
     assert total == 3 and counts[subset._Buckets()["b"]] == 3
+
+
+def test_a_text_of_any_batch_can_open_a_cluster(spark):
+    words = lambda *x: F.lit(bytearray(np.array(x, dtype=np.int32).tobytes()))
+    many = spark.range(24000).select("id", words(0, 1).alias("words"), F.lit(0).alias("grp"), F.lit(0).alias("batch"))
+    few = spark.range(24000, 24100).select("id", words(2, 3).alias("words"), F.lit(0).alias("grp"), F.lit(4).alias("batch"))
+    centres, groups = subset.fit_clusters(many.unionAll(few), np.eye(4, dtype=np.float32), {0: 2})
+    assert sorted(centres.argmax(1).tolist()) == [0, 2] and groups.tolist() == [0, 0]
