@@ -38,10 +38,10 @@ def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, once per context.
 
     Functions given to mapInArrow and the like are pickled by reference to this package,
-    which executors on other machines need not have installed.
+    which executors on other machines, or workers started from another folder, need not find.
     """
     context = spark.sparkContext
-    if context in _SHIPPED or context.master.startswith("local["):
+    if context in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="curaspark-ship-")

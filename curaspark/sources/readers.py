@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curaspark.functions.text import clean_post, post_id
+from curaspark.storage import exists
 
 POSTS = T.StructType([T.StructField("posts", T.ArrayType(T.StructType([T.StructField("com", T.StringType()), T.StructField("perspectives", T.MapType(T.StringType(), T.DoubleType()))])))])
 PERSONAS = T.StructType([T.StructField("persona", T.StringType())])
@@ -21,9 +22,10 @@ COMPLETIONS = T.StructType(
 )
 
 
-def resolve(path: str, base: str | None = None) -> str:
-    """The path as it is if it exists, else below ``base``."""
-    return path if base is None or os.path.exists(path) else os.path.join(base, path)
+def resolve(path: str, base: str | None = None, spark: SparkSession | None = None) -> str:
+    """The path as it is if it exists, else below ``base``. With a session, on the file system that the path names."""
+    there = os.path.exists(path) if spark is None or base is None else exists(spark, path)
+    return path if base is None or there else os.path.join(base, path)
 
 
 def derived_path(path: str, suffix: str) -> str:
@@ -33,17 +35,18 @@ def derived_path(path: str, suffix: str) -> str:
 
 
 def lines_with_ordinal(spark: SparkSession, path: str) -> DataFrame:
-    """``ord, value``: lines of a file or folder, numbered from 0 in the order of files and lines.
+    """``ord, value``: lines of a file or folder, numbered from 0 in the order of file names and lines.
 
-    Line numbers come from the position in the scan, which keeps file order; offsets are counted by partition.
+    A scan packs parts of files by size, so its own order is none. Lines are counted by part of a file; a part's lines
+    come in order, from the position in the scan.
     """
-    lines = spark.read.text(path).withColumn("__mid", F.monotonically_increasing_id())
-    part = F.shiftright("__mid", 33)
-    sizes = lines.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    placed = lines.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return placed.select((F.col("__offset") + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"), "value")
+    part = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", part.alias("__part"), F.monotonically_increasing_id().alias("__mid"))
+    sizes = lines.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part of a file
+    offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    placed = lines.join(F.broadcast(offsets), "__part")
+    return placed.select((F.col("__offset") + F.col("__mid") - F.col("__first")).alias("ord"), "value")
 
 
 def read_threads(spark: SparkSession, path: str, first_lines: int | None = None) -> DataFrame:
@@ -72,22 +75,28 @@ def described(posts: DataFrame, personas: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, first: int | None = None) -> DataFrame:
     """Strict JSON lines: a bad or blank line raises. ``first`` takes that many lines, 0 none, None all."""
-    if first is not None:
-        lines = lines_with_ordinal(spark, path).where(F.col("ord") < first)
-        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j")).select("j.*")
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    lines = spark.read.text(path) if first is None else lines_with_ordinal(spark, path).where(F.col("ord") < first)
+    filled = F.when(F.trim("value") != "", F.col("value")).otherwise(F.raise_error(F.lit("blank line in " + path)))
+    return lines.select(F.from_json(filled, schema, {"mode": "FAILFAST"}).alias("j")).select("j.*")
 
 
 def read_models(spark: SparkSession, base: str, models: list[str], name: str, schema: T.StructType) -> tuple[DataFrame, list[str]]:
     """The file of each model's folder with a ``model`` column, and the models found; missing files are skipped."""
-    found = [m for m in models if os.path.exists(os.path.join(base, m, name))]
+    found = [m for m in models if exists(spark, f"{base}/{m}/{name}")]
     if not found:
         return spark.createDataFrame([], T.StructType([f for f in schema if f.name != "model"])).withColumn("model", F.lit(None).cast("string")), []
     own = T.StructType([f for f in schema if f.name != "model"])
-    rows = spark.read.schema(own).json([os.path.join(base, m, name) for m in found])
+    rows = spark.read.schema(own).json([f"{base}/{m}/{name}" for m in found])
     return rows.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)), found
 
 
+def model_counts(rows: DataFrame, models: list[str]) -> DataFrame:
+    """``model, n, found``: rows read of each model that was asked for; of one without a file 0."""
+    asked = rows.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    counted = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counted, "model", "left").select("model", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("found"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; quoted fields may hold line breaks and doubled quotes."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).schema(schema).csv(path)
@@ -95,7 +104,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def read_embeddings(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame | None:
     """A cached table of vectors, or None if there is none; a wrong number of rows raises."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return None
     cached = spark.read.parquet(path)
     if expected is not None and (n := cached.count()) != expected:

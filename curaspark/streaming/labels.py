@@ -1,4 +1,4 @@
-"""Labels that arrive as files: each micro-batch adds the items not labelled yet."""
+"""Labels that arrive as files: each micro-batch adds its verdicts, votes are taken when they are read."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from curaspark.operators.relational import pending
 from curaspark.operators.votes import majority
 from curaspark.sources.sinks import StagedResults
 
@@ -17,18 +16,30 @@ VERDICTS = T.StructType(
 
 
 def ingest_labels(spark: SparkSession, incoming: str, results: str, checkpoint: str) -> StreamingQuery:
-    """Read verdict files as they appear, vote, and append the votes of items without any; ends when all present files are read.
+    """Read verdict files as they appear and store their verdicts; ends when all present files are read.
 
-    A batch that is run again after a failure replaces its own output, so each item is labelled once.
+    Verdicts are kept, not votes, so those of an item may come in several batches; ``read_votes`` votes. A batch that
+    is run again after a failure replaces its own output.
     """
     store = StagedResults(spark, results, "original_idx")
 
     def add(batch: DataFrame, number: int) -> None:
-        done = store.read()
-        if done is not None:
-            own = spark.read.parquet(f"{results}/batch=*").where(F.col("__batch") != number)
-            batch = pending(batch, own, "original_idx")
-        store.append(majority(batch), number)
+        store.append(batch, number)
 
     stream = spark.readStream.schema(VERDICTS).json(incoming)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_verdicts(spark: SparkSession, results: str) -> DataFrame | None:
+    """The first verdict of each item and judge, as judges don't judge again; None before the first batch."""
+    rows = StagedResults(spark, results, "original_idx").every()
+    if rows is None:
+        return None
+    row = F.struct("__batch", "is_hate", "raw")
+    return rows.groupBy("original_idx", "judge").agg(F.min(row).alias("m")).select("original_idx", "judge", "m.is_hate", "m.raw")
+
+
+def read_votes(spark: SparkSession, results: str) -> DataFrame | None:
+    """Votes over all verdicts stored so far; None before the first batch."""
+    verdicts = read_verdicts(spark, results)
+    return None if verdicts is None else majority(verdicts)

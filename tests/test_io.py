@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curaspark import storage
 from curaspark.operators.relational import not_refused
 from curaspark.sources import catalog, readers, sinks
-from curaspark.streaming.labels import ingest_labels
+from curaspark.streaming.labels import ingest_labels, read_votes
 
 
 def _lines(path, rows):
@@ -108,5 +109,67 @@ def test_label_stream(spark, tmp_path):
     put("b", 1, [False] * 4)
     put("c", 2, [False] * 4)
     ingest_labels(spark, incoming, results, state).awaitTermination()
-    got = {r["original_idx"]: r["vote_label"] for r in sinks.StagedResults(spark, results, "original_idx").read().collect()}
-    assert got == {1: True, 2: False}
+    put("d", 3, [True] * 2)
+    ingest_labels(spark, incoming, results, state).awaitTermination()
+    with open(f"{incoming}/e.json", "w", encoding="utf-8") as f:  # the other judges of item 3 come later
+        for k in (2, 3):
+            f.write(json.dumps({"original_idx": 3, "judge": f"j{k}", "is_hate": True, "raw": ""}) + "\n")
+    ingest_labels(spark, incoming, results, state).awaitTermination()
+    got = {r["original_idx"]: (r["vote_label"], r["total_votes"]) for r in read_votes(spark, results).collect()}
+    assert got == {1: (True, 4), 2: (False, 4), 3: (True, 4)}
+
+
+def test_order_of_files_and_blank_lines(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.txt").write_text("".join(f"a{k}\n" for k in range(3)))
+    (folder / "b.txt").write_text("".join(f"b{k}\n" for k in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [r["value"] for r in sorted(readers.lines_with_ordinal(spark, f"file://{folder}").collect())]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"a{k}" for k in range(3)] + [f"b{k}" for k in range(2000)]
+    path = _lines(tmp_path / "blank.jsonl", [{"persona": "a"}, "  \n", {"persona": "b"}])
+    for first in (None, 3):
+        with pytest.raises(Exception, match="blank line"):
+            readers.read_jsonl(spark, path, readers.PERSONAS, first).collect()
+    assert readers.read_jsonl(spark, path, readers.PERSONAS, 1).count() == 1
+
+
+def test_shared_file_systems(spark, tmp_path, monkeypatch):
+    base = f"file://{tmp_path}"
+    (tmp_path / "one").mkdir()
+    _lines(tmp_path / "one" / "speech.jsonl", [{"text": "x"}])
+    rows, found = readers.read_models(spark, base, ["one", "gone"], "speech.jsonl", readers.COMPLETIONS)
+    assert found == ["one"] and {tuple(r) for r in readers.model_counts(rows, ["one", "gone"]).collect()} == {("one", 1, True), ("gone", 0, False)}
+    spark.range(4).write.parquet(f"{base}/t")
+    sinks.overwrite_in_place(spark.read.parquet(f"{base}/t").where("id > 2"), f"{base}/t")
+    assert spark.read.parquet(f"{base}/t").count() == 1
+    store = sinks.StagedResults(spark, f"{base}/s", "k")
+    store.append(spark.createDataFrame([(1, "a")], "k long, v string"), 0)
+    assert store.read().count() == 1
+    sinks.write_embeddings(spark.createDataFrame([(1, [0.5, 1.0])], "vec_id long, embedding array<float>"), f"{base}/e", "vec_id", "embedding")
+    assert readers.read_embeddings(spark, f"{base}/e", 1).first()["embedding"] == [0.5, 1.0]
+    sinks.write_metrics(spark.createDataFrame([("b", 1.5), ("a", None)], "dataset string, f1 double"), f"{base}/m")
+    assert json.loads(spark.read.text(f"{base}/m").first()["value"]) == [{"dataset": "a", "f1": None}, {"dataset": "b", "f1": 1.5}]
+
+
+def test_intermediates(spark, monkeypatch):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            applicationId = "x"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Elsewhere)
+    kept = storage.materialize(spark.range(3), "some")
+    assert kept.count() == 3 and storage.exists(spark, kept._stored_at)
+    storage.release(kept, spark.range(1), None)
+    assert not storage.exists(spark, kept._stored_at)
