@@ -44,7 +44,7 @@ LOOK_ALIKES = str.maketrans(
     "авгԁеѕіјҟкӏмнорԛтԝухѵһԍոսзցАВЕЅІЈКМНОРСТХУҮԌԚԜҺсαβγεηικνορτυχωϲϳɑɡıΑΒΕΖΗΙΚΜΝΟΡΤΥΧøłđØŁĐ",
     "abrdesijkklmhopqtwyxvhgnuzqabesijkmhopctxyygqwhcabyenikvoptuxwcjagiabezhikmnoptyxoldold",
 )
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 ACCENTS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u093c\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")
 PUNCTUATION = "’‘“”«»–—…"
 WORD = re.compile(r"[^\W_]+")

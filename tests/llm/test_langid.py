@@ -101,5 +101,25 @@ def test_nothing_is_lost_at_a_dash(spark, model):
     got = {tuple(r) for r in lg.wrong_labels(df, model).collect()}
     assert got == {(1, "es"), (1, "fr"), (2, "fr"), (3, "en"), (3, "de")}
     parts = sorted((r["doc_id"], r["segment"], r["lang"], r["n_sentences"]) for r in lg.languages(df, model, segments=True).collect())
-    assert parts == [(1, 0, "es", 2), (1, 1, "fr", 1), (2, 0, "fr", 1), (3, 0, "en", 1), (3, 1, "de", 1), (4, 0, "it", 2), (5, 0, "en", 2)]
-    assert lg.segments_of("Ja - das ist gut")[0] == [" ja das ist gut "]  # no part is long enough, the whole is
+    assert parts == [(1, 0, "es", 2), (1, 1, "fr", 1), (2, 0, "fr", 1), (3, 0, "en", 1), (3, 1, "de", 1), (4, 0, "it", 2), (5, 0, "en", 1), (5, 1, "fr", 1), (5, 2, "en", 1)]
+    assert lg.segments_of("Ja - das ist gut")[0] == [["ja", "das", "ist", "gut"]]  # no part is long enough, the whole is
+
+
+def test_every_passage_is_a_segment(spark, model):
+    sentence = {k: v.split("|")[0].format(THINGS[k]) for k, v in SENTENCES.items()}
+    text = f"Bonjour. {sentence['fr']}. Mon oncle dit « {sentence['de']} ». Elle est ici. {sentence['fr']} - {sentence['it']}."
+    df = spark.createDataFrame([(1, text, "fr", "x", 1)], DOCS)
+    rows = [(r["kind"], r["lang"]) for r in sorted(lg.languages(df, model, segments=True).collect())]
+    assert ("quote", "de") in rows and ("sentence", "it") in rows and ("sentence", "fr") in rows
+    words, kinds, _ = lg.segments_of(text)
+    assert sum(map(len, words)) == len(lg.WORD.findall(lg._plain(text))) and {*kinds} == {0, 1, 2, 3}
+    assert {tuple(r) for r in lg.wrong_labels(df, model).collect()} == {(1, "fr"), (1, "it")}  # a quotation makes no mixture
+    assert lg.segments_of("a <" + "x" * 500 + "> b")[0] == [["a", "b"]]  # a tag of any length
+
+
+def test_confidence_is_calibrated(spark, model):
+    rng = random.Random(9)
+    rows = [(k, " ".join(_text(rng, lang, 1).split()[:5]), lang, "x", 1) for k, lang in enumerate(rng.choice(lg.LANGS) for _ in range(600))]
+    out = lg.languages(spark.createDataFrame(rows, DOCS), model).collect()
+    right = sum(r["lang"] == r["label"] for r in out) / len(out)
+    assert abs(sum(r["confidence"] for r in out) / len(out) - right) < 0.1
