@@ -96,7 +96,7 @@ def canonical_label(column: F.Column) -> F.Column:
     return F.create_map(*pairs)[first]
 
 
-def _plain(text: str) -> str:
+def plain_text(text: str) -> str:
     """Lower-cased, without markup, thread links, invisible characters and accents."""
     if "&" in text:
         text = html.unescape(text)
@@ -115,7 +115,7 @@ def segments_of(text: str | None) -> tuple[list[list[str]], list[int], list[int]
     """Words of each segment in order, its kind (position in ``KINDS``) and the number of its sentence. Empty if there are no words."""
     if not text:
         return [], [], []
-    body = _plain(text).strip()
+    body = plain_text(text).strip()
     if len(body) > 1 and body[0] in QUOTE_MARKS and body[-1] in QUOTE_MARKS:
         body = body[1:-1]  # the whole text in quotation marks is no quotation within it
     out: list[list[str]] = []

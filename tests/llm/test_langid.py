@@ -112,14 +112,14 @@ def test_every_passage_is_a_segment(spark, model):
     rows = [(r["kind"], r["lang"]) for r in sorted(lg.languages(df, model, segments=True).collect())]
     assert ("quote", "de") in rows and ("sentence", "it") in rows and ("sentence", "fr") in rows
     words, kinds, _ = lg.segments_of(text)
-    assert sum(map(len, words)) == len(lg.WORD.findall(lg._plain(text))) and {*kinds} == {0, 1, 2, 3}
+    assert sum(map(len, words)) == len(lg.WORD.findall(lg.plain_text(text))) and {*kinds} == {0, 1, 2, 3}
     assert {tuple(r) for r in lg.wrong_labels(df, model).collect()} == {(1, "fr"), (1, "it")}  # a quotation makes no mixture
     assert lg.segments_of("a <" + "x" * 500 + "> b")[0] == [["a", "b"]]  # a tag of any length
 
 
 def test_confidence_is_calibrated(spark, model):
     rng = random.Random(9)
-    rows = [(k, " ".join(_text(rng, lang, 1).split()[:5]), lang, "x", 1) for k, lang in enumerate(rng.choice(lg.LANGS) for _ in range(600))]
+    rows = [(k, _text(rng, lang, 1), lang, "x", 1) for k, lang in enumerate(rng.choice(lg.LANGS) for _ in range(600))]
     out = lg.languages(spark.createDataFrame(rows, DOCS), model).collect()
     right = sum(r["lang"] == r["label"] for r in out) / len(out)
     assert abs(sum(r["confidence"] for r in out) / len(out) - right) < 0.1
