@@ -1,22 +1,26 @@
 """Choosing a varied subset (problem 1).
 
-1. Records with the same words (lower-cased, in order) count once, so copies have no weight.
-2. Words in less than ``RARE`` or more than ``COMMON`` of the texts are left out: names and function words tell nothing
-   about the kind of a person. Document frequencies cover all texts.
-3. *Topical features*: the leading eigenvectors of the word co-occurrence matrix, in excess of chance and without its
-   diagonal, found by subspace iteration, a narrow pass over all texts each time. Those with at least ``GAP`` of the
-   largest eigenvalue count; there is one topical cluster more than them, as in spectral clustering.
-4. *Mini-batch k-means* on these features: the texts are split by a hash of their id into ``BATCHES`` batches, all of
+1. Records with the same words (lower-cased, in order) count once, so copies have no weight. Words are hashed into
+   ``BUCKETS`` places; document frequencies cover all texts.
+2. *Topical features*: for the ``CORE`` most frequent words, how often two of them share a text is counted over all
+   texts. The logarithm of what exceeds chance, damped where little is expected, is small for words that go with
+   everything, however frequent, and large for those of one kind of record. The leading eigenvectors of this matrix,
+   up to the largest drop between eigenvalues (of ``EIGEN``), are the topical directions; there are as many topics.
+3. *Mini-batch k-means* on these features: the texts are split by a hash of their id into ``BATCHES`` batches, all of
    which are used; each batch is summed by centre on the executors, and a centre moves by the batch's share of all
-   it has seen. Centres start by *k-means||*: in each of ``ROUNDS`` passes over all texts, texts are drawn with chances
-   in proportion to their squared distance from those drawn before, so any text of any batch can open a cluster; the
-   drawn, weighted by how many texts are nearest to each, are put together by k-means++.
-5. Each topical cluster gets an equal quota; slots that a small one can't use go to the others. Each is clustered
-   again by tf-idf vectors of its words into as many parts as its quota, and the parts again get equal quotas; within
-   a part the records are drawn by a seeded hash.
-
-Only centres, word counts and eigenvectors reach the driver, all of fixed size. A cluster may hold any share of the
-rows: ranks are cut to the largest quota in each partition before rows move.
+   it has seen, for ``EPOCHS`` epochs or until centres move less than ``STILL``. Centres start by *k-means||*: in each
+   of ``ROUNDS`` passes over all texts, each text is drawn with a chance in proportion to its squared distance from
+   those drawn before, so any text can open a cluster; the drawn, weighted by how many texts are nearest to each, are
+   put together by k-means++.
+4. Each topic gets an equal quota, however many records it has; slots that a small one can't use go to the others.
+   Each is clustered again into as many kinds as its quota, on all its words: random directions weighted by how
+   unevenly the word is spread over the topics and by how rare it is in its own one. So names and phrases that occur
+   everywhere don't count, and frequent kinds count less. The kinds again get equal quotas; within a kind the records
+   are drawn by a seeded hash.
+
+Only centres, drawn texts, word counts and the matrix reach the driver, all of bounded size (``BUCKETS`` times topics,
+``CORE`` squared, some ``DRAWN`` texts or ``OVER`` a centre each pass). Rows are never ranked by cluster: quotas are
+taken from counts by cluster and key prefix.
 
 Defined results: NULL, blank and wordless records are never chosen; of records with the same words the one with
 the least id stands for all; fewer distinct records than asked give all of them; ids must be unique.
@@ -27,26 +31,27 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curaspark.operators.sampling import take_quota
 from curaspark.session import ship
-from curaspark.storage import materialize
-
-DIMS = 128
-BUCKETS = 1 << 16
-RARE, COMMON = 0.0005, 0.3
-BATCHES = 5
-MAX_CLUSTERS = 2048
-MAX_WORDS = 4096
-EIGEN, PASSES, GAP = 24, 5, 0.5
+from curaspark.storage import materialize, release
+
+DIMS = 64
+BUCKETS = 1 << 17
+CORE, CHANCE, EIGEN, WEAK = 2048, 20.0, 24, 0.05
+BATCHES, EPOCHS, STILL = 5, 2, 1e-3
 RESTARTS, LLOYD = 8, 12
-ROUNDS, OVER, DRAWN = 4, 2, 1000
+ROUNDS, OVER, DRAWN = 3, 2, 1000
 CACHE_WORDS = 400_000
+PIECE = 1000
 WORD = re.compile(r"[^\W\d_]+")
+ROWS = "id long, x binary, grp int, batch int"
 
 
 class _Buckets(dict):
@@ -58,8 +63,10 @@ class _Buckets(dict):
         return value
 
 
-def _words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+@lru_cache(maxsize=1)
+def directions() -> np.ndarray:
+    """A random direction for each bucket, the same everywhere; held once a worker."""
+    return np.random.default_rng(11).standard_normal((BUCKETS, DIMS), dtype=np.float32)
 
 
 def distinct_texts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,130 +78,201 @@ def distinct_texts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.join(least.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts that hold a word of each bucket, and the number of texts."""
+def word_lists(texts: DataFrame) -> DataFrame:
+    """``id, words binary (int32), batch``: the buckets of the distinct words of each text, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket_of, counts, rows = _Buckets(), np.zeros(BUCKETS + 1, dtype=np.int64), 0
+        bucket_of = _Buckets()
         for batch in batches:
-            flat: list[int] = []
-            for text in batch.column(1).to_pylist():
-                flat += {*map(bucket_of.__getitem__, _words(text))}
-            counts[:BUCKETS] += np.bincount(np.array(flat, dtype=np.int64), minlength=BUCKETS)
-            rows += batch.num_rows
+            lists = [np.array(sorted({bucket_of[w] for w in WORD.findall(t.lower())}), dtype=np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, type=pa.binary())], names=["id", "words"])
+
+    made = texts.select("id", "text").mapInArrow(run, "id long, words binary")
+    return materialize(made.withColumn("batch", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(BATCHES)).cast("int")), "word-lists")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' buckets, and the number of each."""
+    lists = column.to_pylist()
+    return np.frombuffer(b"".join(lists), dtype=np.int32), np.array([len(x) // 4 for x in lists], dtype=np.int64)
+
+
+def document_frequencies(lists: DataFrame) -> tuple[np.ndarray, int]:
+    """Texts that hold a word of each bucket, and the number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(BUCKETS + 1, dtype=np.int64), 0
+        for part in _pieces(batches):
+            counts[:BUCKETS] += np.bincount(_flat(part.column(0))[0], minlength=BUCKETS)
+            rows += part.num_rows
         counts[BUCKETS] = rows
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
 
-    rows = texts.select("id", "text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = lists.select("words").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS + 1, dtype=np.int64)  # BUCKETS rows at most
     counts[rows.bucket.to_numpy(dtype=np.int64)] = rows.n.to_numpy()
     return counts[:BUCKETS], int(counts[BUCKETS])
 
 
-class Words:
-    """The words that count, by bucket, and how many texts hold each."""
+def pair_counts(lists: DataFrame, core: np.ndarray) -> np.ndarray:
+    """Texts that hold both words, for each pair of core words; the lower triangle stays 0."""
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[core] = np.arange(len(core))
+    n = len(core)
+    shared = lists.sparkSession.sparkContext.broadcast(place)
 
-    def __init__(self, found: np.ndarray, total: int):
-        share = found / max(1, total)
-        kept = np.flatnonzero((share >= RARE) & (share <= COMMON) & (found > 1))
-        if not len(kept):
-            kept = np.flatnonzero(found)
-        kept = np.sort(kept[np.argsort(-found[kept], kind="stable")[:MAX_WORDS]])
-        self.found, self.total = found[kept].astype(float), total
-        self.place = np.full(BUCKETS, -1, dtype=np.int32)
-        self.place[kept] = np.arange(len(kept))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
+        total = np.zeros(n * n, dtype=np.int32)
+        waiting: list[np.ndarray] = []
+        held = 0
+        for part in _pieces(batches):
+            flat, sizes = _flat(part.column(0))
+            own = place[flat]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[own >= 0]
+            own = own[own >= 0].astype(np.int64)
+            ends = np.cumsum(np.bincount(owner, minlength=len(sizes)))[owner]
+            after = ends - np.arange(len(own)) - 1  # core words of the same text that follow
+            first = np.repeat(np.arange(len(own)), after)
+            second = np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after) + first + 1
+            a, b = own[first], own[second]
+            waiting.append(np.minimum(a, b) * n + np.maximum(a, b))
+            held += len(a)
+            if held > 8_000_000:
+                total += np.bincount(np.concatenate(waiting), minlength=n * n).astype(np.int32)
+                waiting, held = [], 0
+        if held:
+            total += np.bincount(np.concatenate(waiting), minlength=n * n).astype(np.int32)
+        yield packed(total)
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        cells = np.flatnonzero(total)
+        starts = np.searchsorted(cells, np.arange(n + 1) * n)
+        some = np.flatnonzero(np.diff(starts))
+        where, times = (cells % n).astype(np.int32), total[cells].astype(np.int64)
+        cut = lambda x, k: x[starts[k] : starts[k + 1]].tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([cut(where, k) for k in some], type=pa.binary()), pa.array([cut(times, k) for k in some], type=pa.binary())], names=["word", "others", "times"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for word, others, times in zip(*(c.to_pylist() for c in batch.columns)):
+                row = sums.setdefault(word, np.zeros(n, dtype=np.int64))
+                row[np.frombuffer(others, dtype=np.int32)] += np.frombuffer(times, dtype=np.int64)
+        total = np.zeros(n * n, dtype=np.int64) if sums else np.zeros(0, dtype=np.int64)
+        for word, row in sums.items():
+            total[word * n : (word + 1) * n] = row
+        if sums:
+            yield packed(total)
+
+    kinds = "word int, others binary, times binary"
+    made = lists.select("words").mapInArrow(count, kinds).repartition("word").mapInArrow(add, kinds).toPandas()  # CORE squared counts at most
+    table = np.zeros((n, n))
+    for word, others, times in made.itertuples(index=False):
+        table[word, np.frombuffer(others, dtype=np.int32)] = np.frombuffer(times, dtype=np.int64)
+    return table
+
+
+def topical_table(pairs: np.ndarray, found: np.ndarray, total: int) -> np.ndarray:
+    """Core words x topics: leading eigenvectors of the logarithm of co-occurrence above chance."""
+    expected = np.outer(found, found) / max(1, total)
+    excess = np.maximum(0, np.log((pairs + pairs.T + 1) / (expected + 1))) * np.sqrt(np.minimum(1, expected / CHANCE))
+    np.fill_diagonal(excess, 0)
+    n = len(excess)
+    basis = np.linalg.qr(np.random.default_rng(5).standard_normal((n, min(n, EIGEN + 8))))[0]
+    for _ in range(40):
+        basis = np.linalg.qr(excess @ basis + basis)[0]
+    values, turn = np.linalg.eigh(basis.T @ excess @ basis)
+    values, vectors = values[::-1][:EIGEN], (basis @ turn)[:, ::-1]
+    values = values[values > max(1e-9, WEAK * values[0])] if len(values) else values
+    drops = values[:-1] / values[1:] if len(values) == EIGEN else values / np.append(values[1:], WEAK * values[:1])
+    topics = int(drops.argmax()) + 1 if len(drops) else len(values)
+    return (vectors[:, :topics] * np.sqrt(values[:topics])).astype(np.float32)
+
+
+def _sums(flat: np.ndarray, sizes: np.ndarray, rows_of) -> np.ndarray:
+    """At length 1, the sum of the vectors of each text's words; ``rows_of`` gives the vectors of words at positions."""
+    width = rows_of(slice(0, 0)).shape[1]
+    out = np.zeros((len(sizes), width), dtype=np.float32)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(rows_of(slice(None)), (np.cumsum(sizes) - sizes)[some], axis=0)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
 
 
-def word_lists(texts: DataFrame, words: Words) -> DataFrame:
-    """``id, words binary (int32), batch``: the distinct counted words of each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(words.place)  # BUCKETS numbers
+def topical_rows(lists: DataFrame, core: np.ndarray, topical: np.ndarray) -> DataFrame:
+    """Rows to cluster (``ROWS``) of all texts, in one group."""
+    table = np.zeros((BUCKETS, topical.shape[1]), dtype=np.float32)
+    table[core] = topical
+    shared = lists.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, bucket_of = shared.value, _Buckets()
-        for batch in batches:
-            lists = []
-            for text in batch.column(1).to_pylist():
-                own = np.unique(place[[*map(bucket_of.__getitem__, _words(text))]])
-                lists.append(own[own >= 0].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, type=pa.binary())], names=["id", "words"])
+        table = shared.value
+        for part in _pieces(batches):
+            flat, sizes = _flat(part.column(1))
+            yield _packed(part.column(0), _sums(flat, sizes, lambda at: table[flat[at]]), np.zeros(part.num_rows), part.column(2))
 
-    made = texts.select("id", "text").mapInArrow(run, "id long, words binary")
-    return materialize(made.withColumn("batch", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(BATCHES)).cast("int")), "word-lists", ("batch",))
+    return materialize(lists.select("id", "words", "batch").mapInArrow(run, ROWS), "topical-rows", ("batch",))
 
 
-def _project(column: pa.Array, table: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows of each text's words, at length 1."""
-    lists = column.to_pylist()
-    sizes = np.array([len(x) // 4 for x in lists])
-    flat = np.frombuffer(b"".join(lists), dtype=np.int32)
-    out = np.zeros((len(lists), table.shape[1]), dtype=np.float32)
-    some = sizes > 0
-    if some.any():
-        out[some] = np.add.reduceat(table[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+def kind_rows(lists: DataFrame, topics: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """Rows to cluster of all texts, in the groups of their topics, by words that tell kinds apart."""
+    spark = lists.sparkSession
+    joined = materialize(lists.join(topics.select("id", "grp"), "id"), "topic-lists")
+    n = max(sizes) + 1
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS * n, dtype=np.int64)
+        for part in _pieces(batches):
+            flat, own = _flat(part.column(0))
+            counts += np.bincount(flat.astype(np.int64) * n + np.repeat(part.column(1).to_numpy(), own), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
+
+    rows = joined.select("words", "grp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(BUCKETS * n)  # BUCKETS rows a topic at most
+    counts[rows.cell.to_numpy(dtype=np.int64)] = rows.n.to_numpy()
+    counts = counts.reshape(BUCKETS, n)
+    size = np.array([sizes.get(k, 0) for k in range(n)], dtype=float)
+    share = size / size.sum()
+    spread = (counts + CHANCE * share) / (counts.sum(1, keepdims=True) + CHANCE)
+    told = np.where(spread > 0, spread * np.log(np.where(spread > 0, spread, 1) / np.where(share > 0, share, 1)), 0).sum(1)
+    uneven = np.sqrt(np.maximum(told, 0)) if (size > 0).sum() > 1 else np.ones(BUCKETS)
+    rare = np.log((size + 1) / (counts + 1)) * (counts > 0)
+    shared = spark.sparkContext.broadcast((uneven[:, None] * rare).astype(np.float32))  # BUCKETS numbers a topic
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            yield batch.slice(at, 1000)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, ways = shared.value, directions()
+        for part in _pieces(batches):
+            flat, own = _flat(part.column(1))
+            weight = weights[flat, np.repeat(part.column(2).to_numpy(), own)][:, None]
+            yield _packed(part.column(0), _sums(flat, own, lambda at: ways[flat[at]] * weight[at]), part.column(2).to_numpy(), part.column(3))
 
+    made = materialize(joined.select("id", "words", "grp", "batch").mapInArrow(run, ROWS), "kind-rows", ("batch",))
+    release(joined)
+    return made
 
-def topical_table(lists: DataFrame, words: Words) -> np.ndarray:
-    """Words x topical dimensions: leading eigenvectors of co-occurrence in excess of chance, for summing over a text's words."""
-    spark = lists.sparkSession
-    n = len(words.found)
-    scale = 1 / np.sqrt(words.found)
-    basis = np.linalg.qr(np.random.default_rng(5).standard_normal((n, min(EIGEN, n))))[0]
-    for _ in range(PASSES):
-        shared = spark.sparkContext.broadcast((basis * scale[:, None]).astype(np.float32))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            out = np.zeros(table.shape)
-            for part in _pieces(batches):
-                own = [np.frombuffer(x, dtype=np.int32) for x in part.column(0).to_pylist()]
-                sizes = np.array([len(x) for x in own])
-                some = sizes > 0
-                if not some.any():
-                    continue
-                flat = np.concatenate(own)
-                sums = np.zeros((len(own), table.shape[1]), dtype=np.float32)
-                sums[some] = np.add.reduceat(table[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
-                dense = np.zeros((len(own), len(table)), dtype=np.float32)
-                dense[np.repeat(np.arange(len(own)), sizes), flat] = 1
-                out += dense.T @ sums
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(list(out), type=pa.list_(pa.float64()))], names=["word", "sums"])
-
-        made = lists.select("words").mapInArrow(run, "word int, sums array<double>")
-        rows = made.groupBy("word").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(basis.shape[1])]).toPandas()  # MAX_WORDS rows at most
-        together = np.zeros_like(basis)
-        together[rows.word.to_numpy(dtype=np.int64)] = rows[[f"s{k}" for k in range(basis.shape[1])]].to_numpy()
-        # (C - E) / sqrt(d d') without its diagonal; E = d d' / total
-        moved = scale[:, None] * together - np.sqrt(words.found)[:, None] * (np.sqrt(words.found) @ basis)[None, :] / words.total
-        moved -= (1 - words.found / words.total)[:, None] * basis
-        values, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)
-        last = basis @ turn
-        basis = np.linalg.qr(moved @ turn[:, ::-1])[0]
-    order = np.argsort(-values)
-    strong = [k for k in order if values[k] > 0 and values[k] >= GAP * values[order[0]]]
-    return (last[:, strong] * np.sqrt(np.maximum(values[strong], 0)) * scale[:, None]).astype(np.float32)
-
-
-def tfidf_table(words: Words) -> np.ndarray:
-    """Words x ``DIMS``: random directions by inverse document frequency."""
-    base = np.random.default_rng(11).standard_normal((len(words.found), DIMS), dtype=np.float32)
-    return base * np.log(words.total / words.found).astype(np.float32)[:, None]
-
-
-def _nearest(x: np.ndarray, centres: np.ndarray, groups: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
-    """Nearest centre of each row; with groups, among the centres of the row's own group."""
-    apart = (centres**2).sum(1)[None, :] - 2 * (x @ centres.T)
-    if groups is not None:
-        apart = np.where(groups[None, :] == own[:, None], apart, np.inf)
-    return apart.argmin(1)
+
+def _packed(ids: pa.Array, x: np.ndarray, groups: np.ndarray, batch: pa.Array) -> pa.RecordBatch:
+    x = np.ascontiguousarray(x, dtype=np.float16)
+    return pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], type=pa.binary()), pa.array(groups.astype(np.int32)), batch], names=["id", "x", "grp", "batch"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    lists = column.to_pylist()
+    return np.frombuffer(b"".join(lists), dtype=np.float16).reshape(len(lists), -1).astype(np.float32)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
 
 
 def _hot(of: np.ndarray, n: int) -> np.ndarray:
@@ -227,7 +305,7 @@ def start_centres(x: np.ndarray, clusters: int, seed: int, weight: np.ndarray) -
 
 
 def _apart(x: np.ndarray, own: np.ndarray, centres: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre of each row's own group and the squared distance from it; 1 where the group has none."""
+    """Nearest centre of each row's own group (-1 where it has none) and the squared distance from it (there 1)."""
     of, apart = np.full(len(x), -1), np.ones(len(x))
     for g in np.unique(own):
         rows, at = np.flatnonzero(own == g), np.flatnonzero(groups == g)
@@ -237,102 +315,114 @@ def _apart(x: np.ndarray, own: np.ndarray, centres: np.ndarray, groups: np.ndarr
     return of, apart
 
 
-def drawn_texts(rows: DataFrame, table: np.ndarray, clusters: dict[int, int], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def drawn_texts(rows: DataFrame, sizes: dict[int, int], clusters: dict[int, int], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts drawn from all rows by squared distance, the group of each and how many rows of the group are nearest to it."""
     spark = rows.sparkSession
-    centres, groups = np.zeros((0, table.shape[1]), dtype=np.float32), np.zeros(0, dtype=np.int32)
+    centres, groups = np.zeros((0, 0), dtype=np.float32), np.zeros(0, dtype=np.int32)
     wanted = {g: max(OVER * k, DRAWN // (ROUNDS * len(clusters))) for g, k in clusters.items()}
-    for turn in range(ROUNDS + 1):
-        shared = spark.sparkContext.broadcast((centres, groups, table))
+    cost = {g: float(sizes[g]) for g in clusters}
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((centres, groups, {g: wanted[g] / max(cost[g], 1e-9) for g in clusters}))
 
-        def race(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            # the least of exponential times with these rates is a draw without replacement
-            centres, groups, table = shared.value
+        def draw(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            centres, groups, chance = shared.value
+            left: dict[int, float] = dict.fromkeys(chance, 0.0)
             for part in _pieces(batches):
-                _, apart = _apart(_project(part.column(1), table), part.column(2).to_numpy(), centres, groups)
-                even = ((part.column(3).to_numpy().view(np.uint64) >> np.uint64(11)) + 0.5) / 2**53
-                far = np.flatnonzero(apart > 1e-6)
-                if len(far):
-                    taken = part.take(pa.array(far))
-                    time = pa.array(-np.log(even[far]) / apart[far])
-                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), time], names=["id", "words", "grp", "time"])
-
-        drawn = rows.select("id", "words", "grp", F.xxhash64(F.lit(seed), F.lit(turn), "id").alias("h")).mapInArrow(race, "id long, words binary, grp int, time double")
-        most = max(wanted.values()) if turn else 1
-        first = F.row_number().over(Window.partitionBy("grp").orderBy("time", "id"))
-        # constant bounds let Spark cut each partition before rows move; DRAWN / ROUNDS texts or OVER a centre reach the driver a turn
-        found = drawn.withColumn("at", first).where(F.col("at") <= most).orderBy("grp", "at").toPandas()
-        found = found[found["at"] <= found.grp.map(wanted)]
-        if not len(found):
-            break
-        centres = np.concatenate([centres, _project(pa.array(found.words.tolist(), type=pa.binary()), table)])
-        groups = np.concatenate([groups, found.grp.to_numpy(dtype=np.int32)])
-    shared = spark.sparkContext.broadcast((centres, groups, table))
+                own = part.column(1).to_numpy()
+                _, apart = _apart(_matrix(part.column(0)), own, centres, groups)
+                even = ((part.column(2).to_numpy().view(np.uint64) >> np.uint64(11)) + 0.5) / 2**53
+                for g in np.unique(own).tolist():
+                    left[g] += float(apart[own == g].sum())
+                taken = np.flatnonzero((even < apart * np.array([chance[g] for g in own.tolist()])) & (apart > 1e-6))
+                if len(taken):
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(taken)), part.column(0).take(pa.array(taken)), pa.array(np.zeros(len(taken)))], names=["grp", "x", "cost"])
+            some = list(left)
+            yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int32()), pa.array([None] * len(some), type=pa.binary()), pa.array([left[g] for g in some], type=pa.float64())], names=["grp", "x", "cost"])
+
+        even = F.xxhash64(F.lit(seed), F.lit(turn), "id").alias("h")
+        # about ``wanted`` drawn texts of each group and its cost: bounded by the number of clusters
+        found = rows.select("x", "grp", even).mapInArrow(draw, "grp int, x binary, cost double").groupBy("grp", "x").agg(F.sum("cost").alias("cost")).orderBy("grp", "x").toPandas()
+        costs = found[found.x.isna()]
+        cost = dict(zip(costs.grp, costs.cost))
+        found = found[~found.x.isna()]
+        if len(found):
+            more = _matrix(pa.array(found.x.tolist(), type=pa.binary()))
+            centres = np.concatenate([centres, more]) if len(centres) else more
+            groups = np.concatenate([groups, found.grp.to_numpy(dtype=np.int32)])
+    shared = spark.sparkContext.broadcast((centres, groups))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, groups, table = shared.value
+        centres, groups = shared.value
         counts = np.zeros(len(centres), dtype=np.int64)
         for part in _pieces(batches):
-            of, _ = _apart(_project(part.column(0), table), part.column(1).to_numpy(), centres, groups)
+            of, _ = _apart(_matrix(part.column(0)), part.column(1).to_numpy(), centres, groups)
             counts += np.bincount(of[of >= 0], minlength=len(centres))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cluster", "n"])
 
-    total = rows.select("words", "grp").mapInArrow(count, "cluster int, n long").groupBy("cluster").agg(F.sum("n").alias("n")).toPandas()  # a row a drawn text
+    total = rows.select("x", "grp").mapInArrow(count, "cluster int, n long").groupBy("cluster").agg(F.sum("n").alias("n")).toPandas()  # a row a drawn text
     weight = np.zeros(len(centres))
     weight[total.cluster.to_numpy(dtype=np.int64)] = total.n.to_numpy()
     return centres, groups, weight
 
 
-def fit_clusters(rows: DataFrame, table: np.ndarray, clusters: dict[int, int], seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and the group of each, by mini-batch k-means over all batches. ``rows``: ``id, words, grp, batch``; ``clusters``: centres wanted by group."""
+def fit_clusters(rows: DataFrame, sizes: dict[int, int], clusters: dict[int, int], seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and the group of each, by mini-batch k-means over all batches. ``clusters``: centres wanted by group."""
     spark = rows.sparkSession
     clusters = {g: k for g, k in clusters.items() if k}
-    centres, groups = np.zeros((0, table.shape[1]), dtype=np.float32), np.zeros(0, dtype=np.int32)
-    if clusters:
-        rows = rows.where(F.col("grp").isin([int(g) for g in clusters]))
-        drawn, of, weight = drawn_texts(rows, table, clusters, seed)
-        for group in sorted({*of.tolist()}):
-            own = (of == group) & (weight > 0)
-            more = start_centres(drawn[own], clusters[group], seed, weight[own])
-            centres, groups = np.concatenate([centres, more]), np.concatenate([groups, np.full(len(more), group, dtype=np.int32)])
+    rows = rows.where(F.col("grp").isin([int(g) for g in clusters]))
+    drawn, of, weight = drawn_texts(rows, sizes, clusters, seed)
+    parts = [(g, start_centres(drawn[own], clusters[g], seed, weight[own])) for g in sorted(clusters) if (own := (of == g) & (weight > 0)).any()]
+    if not parts:
+        return np.zeros((0, 0), dtype=np.float32), np.zeros(0, dtype=np.int32)
+    centres, groups = np.concatenate([x for _, x in parts]), np.concatenate([np.full(len(x), g, dtype=np.int32) for g, x in parts])
     seen = np.zeros(len(centres))
-    for batch in range(BATCHES if len(centres) else 0):
-        shared = spark.sparkContext.broadcast((centres, groups, table))  # clusters, words and dimensions are bounded
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            centres, groups, table = shared.value
-            sums, counts = np.zeros(centres.shape), np.zeros(len(centres), dtype=np.int64)
-            for part in _pieces(batches):
-                x = _project(part.column(0), table)
-                of = _nearest(x, centres, groups, part.column(1).to_numpy())
-                sums += _hot(of, len(centres)).T @ x
-                counts += np.bincount(of, minlength=len(centres))
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.array(list(sums[at]), type=pa.list_(pa.float64()))], names=["cluster", "n", "sums"])
-
-        parts = rows.where(F.col("batch") == batch).select("words", "grp").mapInArrow(run, "cluster int, n long, sums array<double>")
-        total = parts.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[d]).alias(f"s{d}") for d in range(table.shape[1])]).toPandas()  # a row a cluster
-        if len(total):
-            at, n = total.cluster.to_numpy(), total.n.to_numpy(dtype=float)
-            mean = total[[f"s{d}" for d in range(table.shape[1])]].to_numpy() / n[:, None]
-            seen[at] += n
-            centres = centres.copy()
-            centres[at] += ((n / seen[at])[:, None] * (mean - centres[at])).astype(np.float32)
+    for _ in range(EPOCHS):
+        before = centres
+        for batch in range(BATCHES):
+            shared = spark.sparkContext.broadcast((centres, groups))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                centres, groups = shared.value
+                sums, counts = np.zeros(centres.shape), np.zeros(len(centres), dtype=np.int64)
+                for part in _pieces(batches):
+                    x = _matrix(part.column(0))
+                    of, _ = _apart(x, part.column(1).to_numpy(), centres, groups)
+                    kept = of >= 0
+                    sums += _hot(of[kept], len(centres)).T @ x[kept]
+                    counts += np.bincount(of[kept], minlength=len(centres))
+                cells = np.concatenate([sums, counts[:, None]], axis=1)[counts > 0]
+                at = (np.flatnonzero(counts)[:, None] * cells.shape[1] + np.arange(cells.shape[1])).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(cells.ravel())], names=["cell", "total"])
+
+            made = rows.where(F.col("batch") == batch).select("x", "grp").mapInArrow(run, "cell long, total double")
+            total = made.groupBy("cell").agg(F.sum("total").alias("total")).toPandas()  # a cell a cluster and dimension
+            if len(total):
+                cells = np.zeros(len(centres) * (centres.shape[1] + 1))
+                cells[total.cell.to_numpy()] = total.total.to_numpy()
+                cells = cells.reshape(len(centres), -1)
+                at = np.flatnonzero(cells[:, -1])
+                n = cells[at, -1]
+                mean = cells[at, :-1] / n[:, None]
+                seen[at] += n
+                centres = centres.copy()
+                centres[at] += ((n / seen[at])[:, None] * (mean - centres[at])).astype(np.float32)
+        if (((centres - before) ** 2).sum(1) * seen).sum() / max(seen.sum(), 1) < STILL:
+            break
     return centres, groups
 
 
-def assign(rows: DataFrame, table: np.ndarray, centres: np.ndarray, groups: np.ndarray) -> DataFrame:
-    """``id, words, grp, batch`` with the nearest centre of its group as the new ``grp``."""
-    shared = rows.sparkSession.sparkContext.broadcast((centres, groups, table))
+def assign(rows: DataFrame, centres: np.ndarray, groups: np.ndarray, name: str) -> DataFrame:
+    """``id, grp`` with the nearest centre of its group as the new ``grp``."""
+    shared = rows.sparkSession.sparkContext.broadcast((centres, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, groups, table = shared.value
+        centres, groups = shared.value
         for part in _pieces(batches):
-            of = _nearest(_project(part.column(1), table), centres, groups, part.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(of.astype(np.int32)), part.column(3)], names=["id", "words", "grp", "batch"])
+            of, _ = _apart(_matrix(part.column(1)), part.column(2).to_numpy(), centres, groups)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of.astype(np.int32))], names=["id", "grp"]).filter(pa.array(of >= 0))
 
-    return materialize(rows.select("id", "words", "grp", "batch").mapInArrow(run, "id long, words binary, grp int, batch int"), "assigned")
+    return materialize(rows.select("id", "x", "grp").mapInArrow(run, "id long, grp int"), name)
 
 
 def _sizes(rows: DataFrame) -> dict[int, int]:
@@ -360,29 +450,31 @@ def quotas(sizes: dict[int, int], rows: int) -> dict[int, int]:
 
 
 def choose(records: DataFrame, rows: int, id_col: str = "ord", text_col: str = "persona", seed: int = 42) -> DataFrame:
-    """``id_col, cluster, cluster_size`` of the chosen records."""
+    """``id_col, topic, cluster, cluster_size`` of the chosen records."""
     spark = records.sparkSession
     ship(spark)
-    texts = materialize(distinct_texts(records, id_col, text_col), "distinct-texts")
-    words = Words(*document_frequencies(texts))
-    empty = spark.createDataFrame([], f"`{id_col}` long, cluster int, cluster_size long")
-    if not words.total or rows < 1:
-        return empty
-    lists = word_lists(texts, words).withColumn("grp", F.lit(0))
-    topical, tfidf = topical_table(lists, words), tfidf_table(words)
-    if not topical.shape[1]:
-        topical = tfidf
-    topics = assign(lists, topical, *fit_clusters(lists, topical, {0: min(topical.shape[1] + 1, rows)}, seed))
-    share = {c: min(q, MAX_CLUSTERS) for c, q in quotas(_sizes(topics), rows).items()}
-    centres, groups = fit_clusters(topics, tfidf, share, seed)
-    parts = assign(topics.join(F.broadcast(spark.createDataFrame([(int(g),) for g in {*groups}], "grp int")), "grp", "left_semi"), tfidf, centres, groups)
+    lists = word_lists(distinct_texts(records, id_col, text_col))
+    found, total = document_frequencies(lists)
+    if not total or rows < 1:
+        return spark.createDataFrame([], f"`{id_col}` long, topic int, cluster int, cluster_size long")
+    core = np.sort(np.argsort(-found, kind="stable")[: min(CORE, int((found > 0).sum()))])
+    topical = topical_table(pair_counts(lists, core), found[core].astype(float), total)
+    if topical.shape[1]:
+        wide = topical_rows(lists, core, topical)
+        topics = assign(wide, *fit_clusters(wide, {0: total}, {0: min(topical.shape[1], rows)}, seed), "topics")
+        release(wide)
+    else:
+        topics = materialize(lists.select("id", F.lit(0).alias("grp")), "topics")
+    of_topic = _sizes(topics)
+    share = quotas(of_topic, rows)
+    kinds = kind_rows(lists, topics, of_topic)
+    centres, groups = fit_clusters(kinds, of_topic, share, seed)
+    parts = assign(kinds, centres, groups, "kinds")
+    release(lists, topics, kinds)
     sizes = _sizes(parts)
     wanted: dict[int, int] = {}
-    for topic, slots in quotas(_sizes(topics), rows).items():
+    for topic, slots in share.items():
         wanted |= quotas({c: n for c, n in sizes.items() if groups[c] == topic}, slots)
-    most = max(wanted.values(), default=0)
-    order = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    # the constant bound lets Spark cut each partition's rows of a cluster before they move
-    first = parts.select("id", "grp").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    quota = spark.createDataFrame([(c, q, sizes[c]) for c, q in wanted.items()], "grp int, quota int, cluster_size long")
-    return first.join(F.broadcast(quota), "grp").where("rank <= quota").select(F.col("id").alias(id_col), F.col("grp").alias("cluster"), "cluster_size")
+    quota = spark.createDataFrame([(c, int(groups[c]), q, sizes[c]) for c, q in wanted.items() if q], "grp int, topic int, quota long, cluster_size long")
+    chosen = take_quota(parts.join(F.broadcast(quota), "grp"), ["grp"], "quota", "id", seed)  # a row a cluster is broadcast, no more than slots
+    return chosen.select(F.col("id").alias(id_col), "topic", F.col("grp").alias("cluster"), "cluster_size")
