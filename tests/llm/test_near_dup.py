@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from curaspark.llm import near_dup as nd
@@ -8,16 +9,16 @@ from curaspark.llm import near_dup as nd
 SCHEMA = "rec string, text string, id int, key int"
 
 
-def _records(n=120, seed=1):
+def _records(n=120, seed=1, longest=60):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     rows = []
     for k in range(n):
-        base = rng.choices(vocabulary, k=rng.randint(8, 60))
+        base = rng.choices(vocabulary, k=rng.randint(8, longest))
         rows.append(base)
         for _ in range(rng.randint(0, 3)):
             copy = list(base)
-            for _ in range(rng.randint(0, 12)):
+            for _ in range(rng.randint(0, 12 * longest // 60)):
                 at = rng.randrange(len(copy))
                 what = rng.random()
                 if what < 0.4:
@@ -35,11 +36,10 @@ def _brute(rows, threshold):
     return {tuple(sorted((a, b))) for i, (a, x) in enumerate(counts) for b, y in counts[i + 1 :] if nd.similarity(x, y) >= threshold}
 
 
-@pytest.mark.parametrize("bucket", [4000, 3])
-def test_pairs_equal_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(nd, "BUCKET_ROWS", bucket)  # 3: every larger bucket is cut into chunks
-    rows = _records()
-    got = [tuple(r) for r in nd.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+@pytest.mark.parametrize("limits, n, longest", [((40_000, 20_000), 120, 60), ((40_000, 20_000), 40, 420), ((2, 1), 5, 60), ((1, 2), 4, 420)])
+def test_pairs_equal_brute_force(spark, limits, n, longest):
+    rows = _records(n, longest=longest)  # small limits: every larger bucket is cut into nodes
+    got = [tuple(r) for r in nd.near_pairs(spark.createDataFrame(rows, SCHEMA), limits=limits).collect()]
     want = _brute(rows, nd.THRESHOLD)
     assert len(got) == len(set(got)) and set(got) <= want
     assert len(set(got)) >= 0.99 * len(want)
@@ -102,3 +102,31 @@ def test_signatures_never_exceed_the_difference():
         a, b = nd.occurrences(texts[i]), nd.occurrences(texts[i + 1])
         apart = ((a - b) + (b - a)).total()
         assert np.bitwise_count(signature[i] ^ signature[i + 1]).sum() <= apart
+
+
+def test_signatures_fold():
+    tokens, sizes = nd.members([r[1] for r in _records(20, 4)], nd._Hashes())
+    assert (nd.folded(nd.signatures(tokens, sizes, 256)) == nd.signatures(tokens, sizes, 128)).all()
+    assert nd.steps_of(np.array([1, 96, 97, 192, 193, 5000])).tolist() == [0, 0, 1, 1, 2, 3]
+
+
+def test_a_large_bucket_streams_as_nodes():
+    rng = np.random.default_rng(3)
+    n = 30_000
+    raw = sorted(rng.bytes(16) for _ in range(n))
+    table = pa.table({"key": pa.array([5] * n), "step": pa.array([0] * n, type=pa.int8()), "id": pa.array(range(n)), "sig": pa.array(raw, type=pa.binary()), "n": pa.array([30] * n, type=pa.int32())})
+    other = pa.table({"key": pa.array([9, 9]), "step": pa.array([0, 0], type=pa.int8()), "id": pa.array([n, n + 1]), "sig": pa.array([raw[0], raw[0]], type=pa.binary()), "n": pa.array([30, 30], type=pa.int32())})
+    batches = [b.combine_chunks().to_batches()[0] for b in (table.slice(k, 1000) for k in range(0, n, 1000))] + other.to_batches()
+    met = pa.Table.from_batches(list(nd._join_buckets(0.7, (4000, 2000))(iter(batches))))
+    kind = met.column("kind").to_numpy()
+    assert (kind == nd.NODE_ROW).sum() == n  # each row of the bucket leaves once
+    nodes = len(set(met.filter(pa.array(kind == nd.NODE_ROW)).column("node").to_pylist()))
+    assert 15 <= nodes <= 17 and (kind == nd.NODES).sum() <= nodes * (nodes + 1) // 2
+    assert [(r["key"], r["id"]) for r in met.filter(pa.array(kind == nd.PAIR)).to_pylist()] == [(n, n + 1)]
+
+
+def test_nodes_with_far_prefixes_do_not_meet():
+    nodes = nd._Nodes(1, 10)
+    rows = [bytes([b]) * 16 for b in (0, 255)]
+    list(nodes.add(pa.table({"key": [1] * 20, "step": pa.array([0] * 20, type=pa.int8()), "id": list(range(20)), "sig": pa.array([rows[0]] * 10 + [rows[1]] * 10, type=pa.binary()), "n": pa.array([20] * 20, type=pa.int32())})))
+    assert [(r["node"], r["other"]) for r in nodes.pairs(0.7).to_pylist()] == [(0, 0), (1, 1)]
