@@ -1,9 +1,11 @@
 """Sample matching target category proportions by controlled rounding (problem 2).
 
-The wanted table of quotas is fractional: share times sample size, lifted to the minimum of small cells and
-held below what a cell has, the rest scaled so that the total stays the sample size. *Controlled rounding*
-makes it integer: a feasible circulation found by maximum flow gives each cell the floor or ceiling of its
-quota, and each row and column sum the floor or ceiling of its margin. Each cell then takes exactly its quota
+A cell needs the larger of its minimum and its share of the sample size, rounded down. The wanted table of quotas is
+fractional: each cell gets what it needs, or all that it has, and the rest of the sample is dealt in proportion to the
+shares. Needs come first: where they exceed the sample size, as minima can, the sample is as large as they are together.
+*Controlled rounding* makes the table integer: a feasible circulation found by maximum flow gives each cell the floor or
+ceiling of its quota, and each row and column sum the floor or ceiling of its margin. A cell whose integer quota is
+below its need is reported, which happens only where it has too few items. Each cell then takes exactly its quota
 of items with the smallest seeded hash keys.
 
 Skew: a cell may hold any share of the rows. Keys are counted by cell and leading key bits; only the one
@@ -12,13 +14,14 @@ bucket of a cell in which its quota ends is ranked.
 Defined results: groups are compared trimmed and lower-cased, NULL or blank is 'unknown'; a NULL label counts
 as 0; of an item's rows the one with the latest ``labeled_at`` counts, ties by the largest group and label;
 items of cells without target are never drawn; repeated target cells add their shares and keep the largest
-minimum; NULL shares and minima count as 0; empty tables give an empty sample.
+minimum; NULL shares and minima count as 0; empty tables give an empty sample. Target cells are planned on the driver;
+more than ``MAX_CELLS`` raise.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ SNAP = 1e-9
 
 def cell_group(column: str) -> F.Column:
     """The group as it is compared."""
-    stripped = F.lower(F.regexp_replace(F.col(column), r"(?U)^[\s​﻿]+|[\s​﻿]+$", ""))
+    stripped = F.lower(F.regexp_replace(F.col(column), r"(?U)^[\s\x{200B}\x{FEFF}]+|[\s\x{200B}\x{FEFF}]+$", ""))
     return F.when(F.coalesce(stripped, F.lit("")) == "", F.lit("unknown")).otherwise(stripped)
 
 
@@ -113,9 +116,14 @@ def controlled_rounding(table: dict[tuple[str, int], float], total: int) -> dict
     column_at = {c: 2 + len(rows) + i for i, c in enumerate(columns)}
     source, sink = 0, 1
     extra_source, extra_sink = 2 + len(rows) + len(columns), 3 + len(rows) + len(columns)
-    bounded = [(source, row_at[r], *_bounds(math.fsum(x for (a, _), x in table.items() if a == r))) for r in rows]
+    row_sum: dict[str, list[float]] = defaultdict(list)
+    column_sum: dict[int, list[float]] = defaultdict(list)
+    for (r, c), x in table.items():
+        row_sum[r].append(x)
+        column_sum[c].append(x)
+    bounded = [(source, row_at[r], *_bounds(math.fsum(row_sum[r]))) for r in rows]
     bounded += [(row_at[r], column_at[c], *_bounds(x)) for (r, c), x in sorted(table.items())]
-    bounded += [(column_at[c], sink, *_bounds(math.fsum(x for (_, b), x in table.items() if b == c))) for c in columns]
+    bounded += [(column_at[c], sink, *_bounds(math.fsum(column_sum[c]))) for c in columns]
     bounded.append((sink, source, total, total))
     need = [0] * (extra_sink + 1)
     edges = []
@@ -133,18 +141,20 @@ def controlled_rounding(table: dict[tuple[str, int], float], total: int) -> dict
 
 
 def fractional_quotas(cells: list[dict], total: int) -> dict[tuple[str, int], float]:
-    """Quota of each cell between its minimum and what it has, otherwise in proportion to its share; they sum to ``total``, or to what fits."""
-    low = [min(c["available"], c["min_rows"]) for c in cells]
-    high = [c["available"] for c in cells]
-    total = max(min(total, sum(h for h, c in zip(high, cells) if c["share"] > 0 or c["min_rows"] > 0)), 0)
+    """Quota of each cell between its need and what it has, otherwise in proportion to its share; they sum to ``total``, or to the needs, or to what fits."""
+    low = [min(c["available"], c["need"]) for c in cells]
+    high = [c["available"] if c["share"] > 0 else lo for c, lo in zip(cells, low)]
+    total = min(max(total, sum(low)), sum(high))
     want = lambda scale: [min(max(c["share"] * scale, lo), hi) for c, lo, hi in zip(cells, low, high)]
     if sum(low) >= total:
         quotas = [float(x) for x in low]
+    elif sum(high) <= total:
+        quotas = [float(x) for x in high]
     else:
         a, b = 0.0, 1.0
         while math.fsum(want(b)) < total and b < 1e18:
             b *= 2
-        for _ in range(200):
+        for _ in range(100):
             middle = (a + b) / 2
             a, b = (middle, b) if math.fsum(want(middle)) < total else (a, middle)
         quotas = [float(x) for x in want(b)]
@@ -164,13 +174,15 @@ def plan(items: DataFrame, targets: DataFrame, size: int) -> list[dict]:
         cells.append(r.asDict() | {"need": need, "available": have.get((r["group"], r["is_hate"]), 0)})
     quotas = fractional_quotas(cells, size)
     rounded = controlled_rounding(quotas, round(math.fsum(quotas.values()))) if cells else {}
+    drawn = sum(rounded.values())
     for c in cells:
         c["quota"] = rounded[c["group"], c["is_hate"]]
-        c["missing"] = max(0, c["need"] - c["available"])
+        c["missing"] = max(0, c["need"] - c["quota"])
+        c["share_reached"] = c["quota"] / drawn if drawn else 0.0
     return cells
 
 
-REPORT = "group string, is_hate long, share double, min_rows long, need long, available long, quota long, missing long"
+REPORT = "group string, is_hate long, share double, min_rows long, need long, available long, quota long, missing long, share_reached double"
 
 
 def report(labelled: DataFrame, targets: DataFrame, one_in: int = 10) -> DataFrame:

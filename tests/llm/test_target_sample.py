@@ -69,3 +69,21 @@ def test_nulls_and_empty_tables(spark):
     assert ts.sample(_data(spark, 50), none).count() == 0 and ts.report(_data(spark, 50), none).count() == 0
     odd = spark.createDataFrame([(None, "a", None, None, 1), (1, "A", None, None, 1)], LABELLED)
     assert ts.report(odd, targets).collect()[0]["available"] == 2
+
+
+def test_every_unmet_cell_is_reported(spark):
+    rows = [(i, "a" if i % 2 else "b", i % 3 == 0, T0, 1) for i in range(600)]
+    targets = spark.createDataFrame([("a", True, 0.5, 0), ("a", False, 0.2, 40), ("b", True, 0.2, 150), ("b", False, 0.1, 3), ("c", True, 0.0, 2)], TARGETS)
+    report = ts.report(spark.createDataFrame(rows, LABELLED), targets).collect()
+    got = {(r["group"], r["is_hate"]): (r["need"], r["available"], r["quota"], r["missing"]) for r in report}
+    assert got == {("a", 1): (30, 100, 30, 0), ("a", 0): (40, 200, 40, 0), ("b", 1): (150, 100, 100, 50), ("b", 0): (6, 200, 6, 0), ("c", 1): (2, 0, 0, 2)}
+    assert all((r["quota"] < r["need"]) == (r["missing"] > 0) for r in report)
+    assert abs(sum(r["share_reached"] for r in report) - 1) < 1e-9
+
+
+def test_many_cells_are_rounded_soon():
+    rng = random.Random(4)
+    table = {(f"g{i}", j): rng.random() * 9 for i in range(4000) for j in range(3)}
+    whole = round(sum(table.values()))
+    out = ts.controlled_rounding({c: x * whole / sum(table.values()) for c, x in table.items()}, whole)
+    assert sum(out.values()) == whole
