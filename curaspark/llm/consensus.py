@@ -7,8 +7,9 @@ multiplies an edge table with a vector table; the unknown diagonal is replaced b
 of the round before, so abstaining from self-agreement does not bias the result. Reliability, own rate and
 prevalence give each annotator's hit and false-alarm rate and from these the weights of a "yes" and a "no".
 
-All passes over the data are map-side-combined aggregations by verdict pattern or item; tables handed from
-round to round have one row per annotator.
+All passes over the data are map-side-combined aggregations by verdict pattern or item; what is handed from
+round to round has one row per annotator. The iteration ends when no annotator's reliability moves by ``CONVERGED``,
+the prevalence when it moves less than ``PREVALENCE_CONVERGED``; a warning says so if that isn't reached.
 
 Defined results: a NULL verdict is an abstention; exact repetitions of a row count once, later labellings of
 an item count in addition; an item without verdicts has NULL label; ties are no hate; a judge without
@@ -18,14 +19,15 @@ overlap has reliability 0; empty tables give empty results.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curaspark.storage import materialize
 
-BLOCKS, STEPS, CONVERGED = 20, 2, 1e-3
-PREVALENCE_ROUNDS = 6
+BLOCKS, STEPS, CONVERGED = 100, 3, 1e-5
+PREVALENCE_ROUNDS, PREVALENCE_CONVERGED = 20, 1e-4
 CLIP = 0.005
 
 
@@ -61,23 +63,28 @@ def agreement(patterns: DataFrame, judges: list[str]) -> DataFrame:
 
 def spectral(edges: DataFrame) -> DataFrame:
     """``judge, reliability``: leading eigenvector scaled by its eigenvalue's root, by power iteration over joins."""
-    vector = materialize(edges.groupBy(F.col("a").alias("judge")).agg(F.lit(0.5).alias("x")), "vector")
-    eigenvalue = None
-    for _ in range(BLOCKS):
-        state = vector.select("judge", "x", F.lit(0.0).alias("last"), F.pow("x", 2).alias("self"))
+    spark = edges.sparkSession
+    vector = {r["a"]: 0.5 for r in edges.select("a").distinct().collect()}  # a row an annotator
+    for _ in range(BLOCKS if vector else 0):
+        state = spark.createDataFrame([(j, x, x * x, 0.0) for j, x in vector.items()], "judge string, x double, self double, last double")
         for _ in range(STEPS):
-            moved = edges.join(state.select(F.col("judge").alias("b"), F.col("x").alias("xb")), "b").groupBy(F.col("a").alias("judge")).agg(F.sum(F.col("w") * F.col("xb")).alias("y"))
-            state = state.join(moved, "judge").select("judge", (F.col("y") + F.col("self") * F.col("x")).alias("x"), F.col("x").alias("last"), "self")
-        block = materialize(state.select("judge", "x", "last"), "vector")
-        s = block.agg(F.sum(F.col("x") * F.col("last")).alias("xl"), F.sum(F.col("last") * F.col("last")).alias("ll"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("x").alias("x")).first()
-        if not s["xx"]:
+            moved = edges.join(F.broadcast(state.select(F.col("judge").alias("b"), F.col("x").alias("xb"))), "b").groupBy(F.col("a").alias("judge")).agg(F.sum(F.col("w") * F.col("xb")).alias("y"))
+            state = moved.join(F.broadcast(state), "judge").select("judge", (F.col("y") + F.col("self") * F.col("x")).alias("x"), "self", F.col("x").alias("last"))
+        rows = state.select("judge", "x", "last").collect()
+        norm, before = math.fsum(r["x"] ** 2 for r in rows), math.fsum(r["last"] ** 2 for r in rows)
+        if not norm or not before:
+            return spark.createDataFrame([(j, 0.0) for j in vector], "judge string, reliability double")
+        eigenvalue = math.fsum(r["x"] * r["last"] for r in rows) / before
+        scale = math.sqrt(max(eigenvalue, 0.0) / norm) * (1 if math.fsum(r["x"] for r in rows) >= 0 else -1)
+        fresh = {r["judge"]: r["x"] * scale for r in rows}
+        moved_by = max(abs(x - vector[j]) for j, x in fresh.items())
+        vector = fresh
+        if moved_by < CONVERGED:
             break
-        scale = math.sqrt(max(s["xl"] / s["ll"], 0.0) / s["xx"]) * (1 if s["x"] >= 0 else -1)
-        vector = block.select("judge", (F.col("x") * scale).alias("x"))
-        if eigenvalue is not None and abs(s["xl"] / s["ll"] - eigenvalue) < CONVERGED:
-            break
-        eigenvalue = s["xl"] / s["ll"]
-    return vector.select("judge", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "x")).alias("reliability"))
+    else:
+        if vector:
+            warnings.warn(f"reliabilities still move by {moved_by:.1e}", stacklevel=2)
+    return spark.createDataFrame([(j, max(-1.0, min(1.0, x))) for j, x in vector.items()], "judge string, reliability double")
 
 
 def _weights(judges: dict[str, tuple[float, float]], prevalence: float) -> dict[str, tuple[float, float, float, float]]:
@@ -127,10 +134,11 @@ def fit(labelled: DataFrame, judges: list[str] | None = None) -> tuple[DataFrame
         bend = (two - one) - (one - prevalence)
         fresh = prevalence - (one - prevalence) ** 2 / bend if abs(bend) > 1e-9 else two
         fresh = fresh if CLIP < fresh < 1 - CLIP else two
-        done = abs(fresh - prevalence) < 5e-4
-        prevalence = fresh
-        if done:
+        moved_by, prevalence = abs(fresh - prevalence), fresh
+        if moved_by < PREVALENCE_CONVERGED:
             break
+    else:
+        warnings.warn(f"the prevalence still moves by {moved_by:.1e}", stacklevel=2)
     w = _weights(base, prevalence)
     estimates = {
         j: {"n_verdicts": seen[j][0], "yes_rate": base[j][1], "reliability": base[j][0], "hit_rate": w[j][0], "false_alarm_rate": w[j][1], "yes": w[j][2], "no": w[j][3]}
@@ -140,9 +148,10 @@ def fit(labelled: DataFrame, judges: list[str] | None = None) -> tuple[DataFrame
 
 
 def consensus(labelled: DataFrame, judges: list[str] | None = None) -> DataFrame:
-    """``original_idx, is_hate, probability, agreement, n_verdicts`` of each item.
+    """``original_idx, is_hate, probability, agreement, chance_corrected, n_verdicts`` of each item.
 
-    ``agreement`` is the share of the item's verdicts that equal its consensus label.
+    ``agreement`` is the share of the item's verdicts that equal its consensus label; ``chance_corrected`` the share of
+    agreeing pairs of its verdicts in excess of chance by the overall rate of "yes", at most 1, NULL below two verdicts.
     """
     labellings, estimates, prevalence = fit(labelled, judges)
     yes = sum((F.when(F.col(j), 1).otherwise(0) for j in estimates), F.lit(0))
@@ -152,11 +161,16 @@ def consensus(labelled: DataFrame, judges: list[str] | None = None) -> DataFrame
     judged = F.col("yes") + F.col("no")
     total = F.col("score") + F.lit(math.log(prevalence / (1 - prevalence)))
     label = F.when(judged > 0, total > 0)
+    given = sum(e["n_verdicts"] for e in estimates.values())
+    rate = sum(e["yes_rate"] * e["n_verdicts"] for e in estimates.values()) / given if given else 0.5
+    chance = rate**2 + (1 - rate) ** 2
+    agreeing = (F.col("yes") * (F.col("yes") - 1) + F.col("no") * (F.col("no") - 1)) / (judged * (judged - 1))
     return items.select(
         "original_idx",
         label.alias("is_hate"),
         F.when(judged > 0, _posterior(total)).alias("probability"),
         F.when(judged > 0, F.when(total > 0, F.col("yes")).otherwise(F.col("no")) / judged).alias("agreement"),
+        F.when(judged > 1, (agreeing - F.lit(chance)) / F.lit(1 - chance)).alias("chance_corrected"),
         judged.alias("n_verdicts"),
     )
 
