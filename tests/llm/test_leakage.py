@@ -11,6 +11,7 @@ def test_words_ignore_how_they_are_written():
     assert plain == lk.words_of("CAFÉ &#116;he pеnsiоn qu​eue it’s 3 o’clock!")
     assert lk.words_of(None) == lk.words_of("") == lk.words_of("?! \n") == []
     assert lk.words_of("&amp;#116;en") == ["ten"]
+    assert lk.words_of("&" + "amp;" * 9 + "#116;en") == ["ten"]
 
 
 def _brute(texts, items, run=8):
@@ -55,11 +56,37 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_candidates_lose_no_match_and_prune():
     texts, items = _data()
     index = lk.Index([lk.words_of(t) for _, _, t in items])
-    a, b = index.candidates([lk.words_of(t) for _, t, _ in texts])
-    found = {(texts[x][0], items[y][0], items[y][1]) for x, y in zip(a, b)}
+    cut = [(texts[n][0], p) for n in range(len(texts)) for p in index.passages(lk.words_of(texts[n][1]))]
+    a, b = index.candidates([p for _, p in cut])
+    found = {(cut[x][0], items[y][0], items[y][1]) for x, y in zip(a, b)}
     assert _brute(texts, items) <= found and len(a) < 0.8 * len(texts) * len(items)
 
 
+def test_candidates_a_passage_do_not_grow_with_the_text():
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    items = [rng.choices(words, k=rng.randint(10, 40)) for _ in range(400)]
+    index = lk.Index(items)
+    each = []
+    for n in (100, 8000):
+        text = rng.choices(words, k=n)
+        text[40:50] = items[7][:10]
+        passages = index.passages(text)
+        each.append(len(index.candidates(passages)[0]) / len(passages))
+        assert index.matches([text]) == [(0, 7)]
+    assert each[1] <= each[0] + 1
+
+
+def test_blocks_and_windows_of_any_size_find_the_same(monkeypatch):
+    texts, items = _data()
+    split = [lk.words_of(t) for _, _, t in items]
+    want = lk.Index(split).matches([lk.words_of(t) for _, t, _ in texts])
+    for window, block in ((8, 1), (11, 3), (500, 1000)):
+        monkeypatch.setattr(lk, "WINDOW", window)
+        monkeypatch.setattr(lk, "BLOCK", block)
+        assert lk.Index(split).matches([lk.words_of(t) for _, t, _ in texts]) == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], TEXTS)
     assert lk.leaks(none, "original_idx", "text", spark.createDataFrame([], ITEMS)).count() == 0
