@@ -123,6 +123,15 @@ _GROUP = "coalesce(nullif(" + _STRIPPED.replace("{x}", '"group"') + ", ''), 'unk
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": r"""
+WITH rec AS (
+  SELECT 'hub-' || ord AS rec, lower(persona) AS t FROM persona_personahub_200k UNION ALL SELECT 'merged-' || id, lower(persona) FROM personas_merged
+), word AS (SELECT rec, unnest(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM rec),
+occurrence AS (SELECT rec, w, row_number() OVER (PARTITION BY rec, w) AS k FROM word),
+size AS (SELECT rec, count(*) AS n FROM occurrence GROUP BY rec),
+pair AS (SELECT a.rec AS x, b.rec AS y, count(*) AS common FROM occurrence a JOIN occurrence b ON a.w = b.w AND a.k = b.k AND a.rec < b.rec GROUP BY 1, 2)
+SELECT x AS rec_a, y AS rec_b FROM pair JOIN size s ON s.rec = x JOIN size t ON t.rec = y WHERE common / (s.n + t.n - common)::DOUBLE >= 0.7
+""",
         "p2_found": f"""
 WITH latest AS (
   SELECT original_idx, max(struct_pack(labeled_at := labeled_at, g := {_GROUP}, h := CAST(coalesce(vote_label, false) AS BIGINT))) AS m
