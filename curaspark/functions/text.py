@@ -87,7 +87,8 @@ def post_id(html: Column) -> Column:
 
 def _contains_any(text: Column, phrases: list[str]) -> Column:
     """The phrases that the text holds, whatever their case, in list order."""
-    return let(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, F.lower(p))))
+    known = F.array(*[F.struct(F.lit(p.lower()).alias("low"), F.lit(p).alias("phrase")) for p in phrases])  # folded once, not lowered by row
+    return let(F.lower(text), lambda low: F.transform(F.filter(known, lambda p: F.contains(low, p["low"])), lambda p: p["phrase"]))
 
 
 def refusal_keywords(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions.vectors import as_double
 from curaspark.session import ship
-from curaspark.storage import materialize
+from curaspark.storage import materialize, release
 
 DRIVER_BYTES = 256 << 20
 STATE_EVERY = 16
@@ -100,8 +100,9 @@ def _farthest_distributed(points: DataFrame, budget: int, start: int | None) ->
     while len(rows) < budget:
         moved = state.mapInArrow(closer(spark.sparkContext.broadcast(recent)), "id long, v array<double>, d double")
         if len(recent) >= STATE_EVERY:
-            state, recent = materialize(moved, "distances"), []
-            moved = state
+            before, recent = state, []
+            state = moved = materialize(moved, "distances")
+            release(before)
         best = moved.agg(F.max(F.struct("d", (-F.col("id")).alias("i"))).alias("m"), F.max_by("v", F.struct("d", -F.col("id"))).alias("v")).first()
         if best["m"]["d"] <= 0:
             break

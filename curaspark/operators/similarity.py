@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from curaspark.functions.vectors import l2_normalize
 from curaspark.session import ship
-from curaspark.storage import materialize
+from curaspark.storage import materialize, release
 
-PIVOTS = 64
+PIVOTS = 1024
 BLOCK = 2000
 DRIVER_EDGES = 2_000_000
 SLACK = 1e-9
@@ -62,12 +62,11 @@ def cosine_edges(df: DataFrame, id_col: str, vector_col: str, threshold: float)
     placed = materialize(unit.mapInArrow(place, "id long, v array<double>, c int, angle double"), "placed-vectors")
     clusters = {r["c"]: (r["n"], r["radius"]) for r in placed.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}  # PIVOTS rows
     reach = math.acos(max(-1.0, min(1.0, threshold)))
-    pairs = []
-    for i, (n_i, r_i) in clusters.items():
-        for j, (n_j, r_j) in clusters.items():
-            apart = math.acos(max(-1.0, min(1.0, float(pivots[i] @ pivots[j]))))
-            if i <= j and (i == j or apart <= r_i + r_j + reach + SLACK):
-                pairs.append((i, j, -(-n_i // BLOCK), -(-n_j // BLOCK)))
+    at = np.array(sorted(clusters))
+    blocks, radius = np.array([-(-clusters[c][0] // BLOCK) for c in at]), np.array([clusters[c][1] for c in at])
+    apart = np.arccos(np.clip(pivots[at] @ pivots[at].T, -1, 1))
+    near = np.triu(apart <= radius[:, None] + radius[None, :] + reach + SLACK) | np.eye(len(at), dtype=bool)
+    pairs = [(int(at[i]), int(at[j]), int(blocks[i]), int(blocks[j])) for i, j in zip(*np.nonzero(near))]
     meet = spark.createDataFrame(pairs, "i int, j int, n_i int, n_j int")
     # a row goes to each block pair of its block: as first with every block of j, as second with every block of i
     own = placed.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(2**31)))
@@ -113,7 +112,9 @@ def first_independent(edges: DataFrame) -> DataFrame:
         kept = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
         gone = materialize(left.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "removed")
         removed = gone if removed is None else removed.unionAll(gone)
+        before = left
         left = materialize(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").join(kept.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"), "edges")
+        release(before)
     rest = left.orderBy("a", "b").toArrow()  # DRIVER_EDGES rows at most
     out: set[int] = set()
     for a, b in zip(rest.column("a").to_pylist(), rest.column("b").to_pylist()):

@@ -10,7 +10,7 @@ from curaspark.plans.common import deliveries, register, speech, sql_list, table
 from curaspark.plans.text_queries import _VERDICTS_SQL, JUDGES, LABELED, SPEECH_SQL, sql_soft, sql_strip, verdicts
 from curaspark.sources.catalog import GROUPS, SENTIMENTS
 
-BALANCED, COMPARED, NEAR, CAP = 20, "all_7_models_voting", 0.3, 20
+COMPARED, NEAR, CAP = "all_7_models_voting", 0.3, 1000
 
 
 def _norm_sql(x: str) -> str:
@@ -257,8 +257,11 @@ def logit_argmax(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", V.argmax(F.slice("embedding", 1, 2)).alias("pred"))
 
 
-def _postprocessed(spark, folder):
-    return stats.postprocess(deliveries(spark, folder)).select("task_id", "model", "was_refused", "is_refused", "was_cleaned").distinct()
+def _postprocessed(spark, folder, cleaned: bool):
+    done = stats.postprocess(deliveries(spark, folder))
+    if not cleaned:
+        done = done.withColumn("was_cleaned", F.lit(False))  # so texts needn't be trimmed
+    return done.select("task_id", "model", "was_refused", "is_refused", "was_cleaned").distinct()
 
 
 @register(
@@ -267,12 +270,12 @@ def _postprocessed(spark, folder):
  FROM (SELECT model, coalesce(is_refused, false) AS before, {sql_soft('text')} AS reason FROM {SPEECH_SQL}) GROUP BY model"""
 )
 def postprocess_stats(spark, folder):
-    return stats.postprocess_stats(_postprocessed(spark, folder)).drop("cleaned")
+    return stats.postprocess_stats(_postprocessed(spark, folder, False)).drop("cleaned")
 
 
 @register(None)
 def postprocess_cleaned(spark, folder):
-    return stats.postprocess_stats(_postprocessed(spark, folder)).select("model", "cleaned")
+    return stats.postprocess_stats(_postprocessed(spark, folder, True)).select("model", "cleaned")
 
 
 @register(
@@ -352,7 +355,17 @@ def dafps_select(spark, folder):
     return diversity.density_aware_points(table(spark, folder, "embeddings"), "vec_id", "embedding", 20, start=0).select("rank", "id")
 
 
-@register(None)
+_DIVERSE_SQL = f"""WITH RECURSIVE edges AS MATERIALIZED (SELECT a, b FROM {_EDGES_SQL}), ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings),
+ walk AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL
+ SELECT ids.r, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE edges.b = ids.vec_id AND list_contains(walk.kept, edges.a)) THEN walk.kept ELSE list_append(walk.kept, ids.vec_id) END FROM walk JOIN ids ON ids.r = walk.r + 1),
+ v AS MATERIALIZED (SELECT * FROM {_VEC_SQL} WHERE vec_id IN (SELECT unnest(kept) FROM (SELECT kept FROM walk ORDER BY r DESC LIMIT 1))),
+ picks AS (SELECT 0 AS rank, min(vec_id) AS id, [min(vec_id)]::BIGINT[] AS done FROM v UNION ALL
+ SELECT rank + 1, nxt, list_append(done, nxt) FROM (SELECT picks.rank, picks.done, (SELECT arg_max(c.vec_id, (c.d, -c.vec_id)) FROM
+ (SELECT v.vec_id, min(list_distance(v.e, p.e)) AS d FROM v, v p WHERE list_contains(picks.done, p.vec_id) GROUP BY v.vec_id) c) AS nxt FROM picks WHERE rank < 19))
+ SELECT id AS vec_id, rank FROM picks"""
+
+
+@register(_DIVERSE_SQL)
 def select_diverse(spark, folder):
     return diversity.select_diverse(table(spark, folder, "embeddings"), "vec_id", "embedding", NEAR, 20).select("vec_id", "rank")
 

@@ -254,11 +254,11 @@ def word_counts(spark, folder):
 
 
 @register(
-    """SELECT original_idx, max(to_json([{'role': 'system', 'content': 'Answer Yes or No.'}, {'role': 'user', 'content': 'Text: ' || substring(text, 1, 1500)},
- {'role': 'assistant', 'content': CASE WHEN split_label = 1 THEN 'Yes' ELSE 'No' END}])::VARCHAR) AS messages
- FROM personahate_train_balanced_6judge WHERE length(text) > 0 AND NOT regexp_matches(text, '[/\\\\\\x00-\\x1f\\x7f]') GROUP BY original_idx"""
+    """SELECT DISTINCT original_idx, t.turn, t.role, t.content FROM (SELECT original_idx, unnest([{'turn': 0, 'role': 'system', 'content': 'Answer Yes or No.'},
+ {'turn': 1, 'role': 'user', 'content': 'Text: ' || substring(text, 1, 1500)}, {'turn': 2, 'role': 'assistant', 'content': CASE WHEN split_label = 1 THEN 'Yes' ELSE 'No' END}]) AS t
+ FROM personahate_train_balanced_6judge WHERE length(text) > 0)"""
 )
 def sft_messages(spark, folder):
     rows = table(spark, folder, "personahate_train_balanced_6judge").where(metrics.non_empty(F.col("text")))
     made = T.classification_messages(F.col("text"), F.col("split_label"), "Answer Yes or No.")
-    return rows.groupBy("original_idx").agg(F.max(F.to_json(made)).alias("messages"))
+    return rows.select("original_idx", F.posexplode(made).alias("turn", "message")).select("original_idx", "turn", "message.role", "message.content").distinct()

@@ -1,5 +1,3 @@
-import json
-
 from curaspark.plans import registry
 
 
@@ -8,6 +6,6 @@ def test_a_message_for_every_non_empty_text(spark, tmp_path):
     rows = [(k, text, k % 2) for k, text in enumerate(texts)]
     rows.append((1, "two\nlines", 1))  # a second delivery
     spark.createDataFrame(rows, "original_idx long, text string, split_label int").write.parquet(f"{tmp_path}/personahate_train_balanced_6judge.parquet")
-    got = {r["original_idx"]: json.loads(r["messages"]) for r in registry.queries()["sft_messages"](spark, str(tmp_path)).collect()}
+    got = sorted(tuple(r) for r in registry.queries()["sft_messages"](spark, str(tmp_path)).collect())
     turns = lambda text, label: [("system", "Answer Yes or No."), ("user", "Text: " + text[:1500]), ("assistant", "Yes" if label else "No")]
-    assert {k: [(t["role"], t["content"]) for t in v] for k, v in got.items()} == {k: turns(text, label) for k, text, label in rows if text}
+    assert got == sorted({(k, n, *t) for k, text, label in rows if text for n, t in enumerate(turns(text, label))})
