@@ -2,18 +2,24 @@
 
 A word is scored by the log-probability of its letter 3- and 4-grams among English ones and by whether it is among the
 ``COMMON`` most frequent English words. A text's score is the mean over its n-grams, plus ``KNOWN`` times the share of
-common words. English held-out texts set the level; what is ``MARGIN`` below it is rejected (``FIRST`` by the first
-fit, which knows the prompts' words only).
+common words. What is ``MARGIN`` below the level of English texts is rejected (``FIRST`` by the first fit, which knows
+the prompts' words only).
 
-Fitted on a bounded sample: English texts that are known (about ``SAMPLE`` distinct prompts), then also answers that the
-first fit accepts (of about ``SAMPLE`` rows), so that words of both kinds of text are known. With too few texts to
-learn from, held-out ones score low as well, and little is rejected.
+Fitted on all rows: on every distinct English text that is known (the prompts), then also on every answer that the
+first fit accepts, so that words of both kinds of text are known. The level is the mean score of all prompts, each
+scored by a model that lacks its own fold of ``FOLDS``. With too few texts to learn from, these scores are low as well,
+and little is rejected; with fewer than ``FOLDS`` prompts nothing is.
+
+Words are counted where the rows are and added up by Spark; only the counts of ``FEATURES`` features and the common
+words come to the driver, however many rows and words there are.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +29,30 @@ from pyspark.sql import functions as F
 from curaspark.llm.langid import FEATURES, SENTENCE_END, WORD, plain_text, word_features
 from curaspark.storage import materialize, release
 
-SAMPLE = 20_000
 COMMON, KNOWN = 500, 8.0
 FIRST, MARGIN = 8.0, 4.5
 SMOOTH = 0.05
 LEAST = 3
-HELD_OUT = 5
+FOLDS = 5
 CACHE_WORDS = 400_000
+COUNT_WORDS = 100_000
+CHUNK = 500
 
 
 class English:
-    """Scores of words, kept once computed; a new one is fitted from word counts."""
+    """Scores of words, kept once computed; a new one is fitted from the counts of features (none: nothing is known)."""
 
-    def __init__(self, times: dict[str, int], level: float = float("-inf")):
-        words = list(times)
-        count = np.zeros(FEATURES)
-        if words:
-            ids, of = word_features(words)
-            count = np.bincount(ids, weights=np.fromiter(times.values(), dtype=float, count=len(words))[of], minlength=FEATURES)
+    def __init__(self, count, common: Iterable[str] = (), level: float = float("-inf")):
+        count = count if len(count) else np.zeros(FEATURES)
         self.logs = np.log((count + SMOOTH) / (count.sum() + SMOOTH * FEATURES)).astype(np.float32)
-        self.common = frozenset(sorted(words, key=lambda w: (-times[w], w))[:COMMON])
+        self.common = frozenset(common)
         self.level = level
         self.kept: dict[str, tuple[float, int, int]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"kept": {}}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
         fresh = list({w for w in words if w not in self.kept})
@@ -69,6 +72,11 @@ class English:
         total, n, known = map(sum, zip(*values))
         return total / n + KNOWN * known / len(words)
 
+    def scores(self, texts: list[list[str]]) -> list[float]:
+        """Of texts that are few enough to be held at once; their new words are learnt together."""
+        self._learn(chain.from_iterable(texts))
+        return [self.score(words) for words in texts]
+
     def rejects(self, words: list[str]) -> bool:
         """Not English; fewer than ``LEAST`` words decide nothing."""
         return len(words) >= LEAST and self.score(words) < self.level - MARGIN
@@ -93,49 +101,110 @@ def english_words(text: str | None) -> list[str]:
     return WORD.findall(plain_text(text)) if text else []
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[list[str]]]]:
+    """Words of ``CHUNK`` texts each, by fold; texts without words are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            texts: dict[int, list[list[str]]] = {}
+            for text, fold in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                words = english_words(text)
+                if words:
+                    texts.setdefault(fold, []).append(words)
+            yield texts
+
+
 def _count(shared):
+    """Texts and their folds -> words by fold and how often they occur, in parts; with a model, of the texts like it only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: English | None = shared.value
-        times: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = english_words(text)
-                if words and (model is None or (len(words) >= LEAST and model.score(words) >= model.level - FIRST)):
-                    times.update(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(times), type=pa.string()), pa.array(list(times.values()), type=pa.int64())], names=["word", "n"])
+        times: dict[int, Counter] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for fold, n in times.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), type=pa.string()), pa.array([fold] * len(n), type=pa.int64()), pa.array(list(n.values()), type=pa.int64())], names=["word", "fold", "n"])
+            times.clear()
+
+        for chunk in _chunks(batches):
+            for fold, texts in chunk.items():
+                if model is not None:
+                    texts = [x for x, score in zip(texts, model.scores(texts)) if len(x) >= LEAST and score >= model.level - FIRST]
+                times.setdefault(fold, Counter()).update(chain.from_iterable(texts))
+            if sum(map(len, times.values())) > COUNT_WORDS:
+                yield from counted()
+        yield from counted()
 
     return run
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts by model -> features and their counts by model."""
+    total = np.zeros((FOLDS + 1, FEATURES), dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            ids, of = word_features(batch.column(0).to_pylist())
+            for k in range(FOLDS + 1):
+                total[k] += np.bincount(ids, weights=batch.column(k + 1).to_numpy()[of], minlength=FEATURES).astype(np.int64)
+    at = np.flatnonzero(total[FOLDS])
+    yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), *[pa.array(x[at]) for x in total]], names=["feature", *_MODELS])
+
+
 def _scores(shared):
+    """Texts and their folds -> their scores, each by the model without its fold, added up in millionths, and the number of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [shared.value.score(words) for batch in batches for words in map(english_words, batch.column(0).to_pylist()) if words]
-        yield pa.RecordBatch.from_arrays([pa.array([sum(found)], type=pa.float64()), pa.array([len(found)], type=pa.int64())], names=["total", "n"])
+        total = n = 0
+        for chunk in _chunks(batches):
+            for fold, texts in chunk.items():
+                total += sum(round(1e6 * x) for x in shared.value[fold].scores(texts))
+                n += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([total], type=pa.int64()), pa.array([n], type=pa.int64())], names=["total", "n"])
 
     return run
 
 
-def fit(rows: DataFrame, known: str, others: str, id_col: str) -> English:
-    """From the sampled rows' ``known`` texts, which are English, and those of ``others`` that are like them."""
+_MODELS = [f"m{k}" for k in range(FOLDS + 1)]  # counts without each fold, then of all
+
+
+def _models(counts: DataFrame) -> list[English]:
+    """From words by fold: a model without each fold's texts, then one of all texts."""
+    without = [F.sum(F.when(F.col("fold") == k, 0).otherwise(F.col("n"))).alias(_MODELS[k]) for k in range(FOLDS)]
+    words = materialize(counts.groupBy("word").agg(*without, F.sum("n").alias(_MODELS[FOLDS])), "english-words")
+    tops = [words.where(F.col(m) > 0).orderBy(F.desc(m), "word").limit(COMMON).select(F.lit(m).alias("model"), "word") for m in _MODELS]
+    common: dict[str, list[str]] = {m: [] for m in _MODELS}
+    for r in reduce(DataFrame.unionAll, tops).collect():  # COMMON a model
+        common[r["model"]].append(r["word"])
+    made = words.mapInArrow(_features, f"feature long, {', '.join(f'{m} long' for m in _MODELS)}")
+    found = made.groupBy("feature").agg(*[F.sum(m).alias(m) for m in _MODELS]).toPandas()  # FEATURES at most
+    release(words)
+    models = []
+    for m in _MODELS:
+        count = np.zeros(FEATURES)
+        count[found["feature"].to_numpy(dtype=np.int64)] = found[m].to_numpy(dtype=float)
+        models.append(English(count, common[m]))
+    return models
+
+
+def fit(rows: DataFrame, known: str, others: str, id_col: str | None = None) -> English:
+    """From all ``known`` texts, which are English, and those of ``others`` that are like them. No row is left out, so ``id_col`` isn't needed."""
     spark = rows.sparkSession
-    total = rows.count()
-    keep = min(1.0, SAMPLE / max(1, total))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) < int(keep * (1 << 30)) + 1)
-    sample = materialize(chosen.select(F.col(known).alias("known"), F.col(others).alias("other")), "english-sample")
-    prompts = materialize(sample.where("known is not null").select(F.col("known").alias("text")).distinct().withColumn("held", F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(HELD_OUT)) == 0), "english-prompts")
-
-    def counts(texts: DataFrame, model: English | None) -> Counter:
-        made = texts.mapInArrow(_count(spark.sparkContext.broadcast(model)), "word string, n long")
-        return Counter(dict(made.groupBy("word").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False)))  # words of the bounded sample
-
-    def level(model: English) -> float:
-        made = prompts.where("held").select("text").mapInArrow(_scores(spark.sparkContext.broadcast(model)), "total double, n long").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
-        return made["t"] / made["n"] if made["n"] else model.level
-
-    times = counts(prompts.where("not held").select("text"), None)
-    model = English(times)
-    model.level = level(model)
-    model = English(times + counts(sample.where("other is not null").select("other"), model))
-    model.level = level(model)
-    release(sample, prompts)
+    texts = rows.where(F.col(known).isNotNull()).select(F.col(known).alias("text")).distinct()
+    prompts = materialize(texts.withColumn("fold", F.pmod(F.xxhash64(F.lit(6), "text"), F.lit(FOLDS))), "english-prompts")
+    answers = rows.where(F.col(others).isNotNull()).select(F.col(others).alias("text"), F.lit(FOLDS).cast("long").alias("fold"))
+
+    def counts(table: DataFrame, like: English | None) -> DataFrame:
+        made = table.mapInArrow(_count(spark.sparkContext.broadcast(like)), "word string, fold long, n long")
+        return made.groupBy("word", "fold").agg(F.sum("n").alias("n"))
+
+    def levelled(models: list[English]) -> English:
+        made = prompts.mapInArrow(_scores(spark.sparkContext.broadcast(models)), "total long, n long").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).first()
+        if made["n"] and made["n"] >= FOLDS:
+            models[FOLDS].level = made["t"] / made["n"] / 1e6
+        return models[FOLDS]
+
+    words = materialize(counts(prompts, None), "english-prompt-words")
+    first = levelled(_models(words))
+    model = levelled(_models(words.unionAll(counts(answers, first))))
+    release(prompts, words)
     return model
